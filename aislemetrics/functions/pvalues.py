@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
@@ -50,7 +51,7 @@ def incomplete_beta(a, b, x) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & df.notna() & (df > 0)
     out = pd.Series(np.nan, index=t.index)
@@ -59,7 +60,7 @@ def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return out.astype(object).where(out.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     ok = f.notna() & d1.notna() & d2.notna() & (d1 > 0) & (d2 > 0)
     out = pd.Series(np.nan, index=f.index)

@@ -115,7 +115,7 @@ def describe_sql(columns, table):
     return _each(columns, cells, table)
 
 
-DESCRIBE_ROUNDS = "mean,std,min,max,q25,q50,q75:5"
+DESCRIBE_ROUNDS = "mean,std,min,max,q25,q50,q75:7"
 query("numeric_summary", "J11 D16", describe_sql(SALES_NUMBERS, "weekly_sales"), DESCRIBE_ROUNDS)(
     lambda v: quality.numeric_summary(v.weekly_sales, SALES_NUMBERS)
 )
@@ -153,7 +153,7 @@ def box_sql(group, column, table):
     )
 
 
-BOX_ROUNDS = "min,q25,median,q75,max,whisker_low,whisker_high:5 outliers:i"
+BOX_ROUNDS = "min,q25,median,q75,max,whisker_low,whisker_high:7 outliers:i"
 query("box_stats", "J14", box_sql("prov_cd", "live_price_amt", "store_price"), BOX_ROUNDS)(
     lambda v: quality.box_stats(v.store_price, "prov_cd", "live_price_amt")
 )
