@@ -2,4 +2,4 @@
 
 from workload.registry import QUERIES  # noqa: F401
 
-from workload import catalog, competitive, network, pricing, quality, sales, stats, timeseries  # noqa: F401, E402
+from workload import catalog, competitive, network, price_gap, pricing, quality, sales, stats, timeseries  # noqa: F401, E402
