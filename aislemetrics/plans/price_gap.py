@@ -69,9 +69,10 @@ NATIONAL = "NATIONAL"
 ITEM_KEYS = ("sbu_desc", "dept_desc", "dept_category_desc", "upc_nbr", "group_code", "group_desc", "brand_type")
 GROUP_KEYS = tuple(k for k in ITEM_KEYS if k != "upc_nbr")
 # the market measures that later stages read
-MARKET_READ = tuple(
-    f"{level}_{m}_1w" for level in LEVELS for m in ("sales", "units", "promo_sales", "promo_units")
-) + ("total_mkt_units_52w",)
+_READ_PARTS = [
+    (level, m, "1w") for level in LEVELS for m in ("sales", "units", "promo_sales", "promo_units")
+] + [("total_mkt", "units", "52w")]
+MARKET_READ = tuple("_".join(parts) for parts in _READ_PARTS)
 
 
 # ---- calendar --------------------------------------------------------------
@@ -280,6 +281,19 @@ def market_duplicates(mapped: DataFrame) -> DataFrame:
     return joined.withColumn("own_upcs", F.coalesce("own_upcs", F.lit(0))).drop("_region")
 
 
+def market_shared(clean: DataFrame, upc_map: DataFrame) -> DataFrame:
+    """:func:`market_mapped` and :func:`market_duplicates` in one join.
+
+    The number of own UPCs is a property of the map, so it is counted there and the feed is read
+    once. (Counted over the feed, a region spelled in two cases would repeat its rows.)
+    """
+    keys = upc_map.select(F.upper("region").alias("_region"), "market_upc", "own_upc")
+    counts = keys.groupBy("_region", "market_upc").agg(F.count_distinct("own_upc").alias("own_upcs"))
+    keys = keys.join(counts, ["_region", "market_upc"])
+    joined = clean.withColumn("_region", F.upper("region")).join(keys, ["_region", "market_upc"], "left")
+    return joined.withColumn("own_upcs", F.coalesce("own_upcs", F.lit(0))).drop("_region")
+
+
 def market_split(duplicated: DataFrame) -> DataFrame:
     """Share the measures among the own UPCs; keep rows with sales this year or last."""
     share = F.greatest(F.col("own_upcs"), F.lit(1))
@@ -317,6 +331,23 @@ def market_by_period(by_level: DataFrame) -> DataFrame:
     )
 
 
+def market_pivot(split: DataFrame) -> DataFrame:
+    """The market measures that later stages read, by region and nationally, in one aggregation.
+
+    Same figures as :func:`market_levels`, :func:`market_by_level` and :func:`market_by_period` in
+    turn, without shuffling the tall rows three times: conditional sums per region first, then the
+    national total over those few rows.
+    """
+    market, period = F.col("market_description"), F.col("period_description")
+    regional = split.groupBy("promo_yr_wk", "region", "own_upc").agg(
+        *[
+            F.sum(F.when(market.like(LEVELS[level]) & period.like(PERIODS[length]), F.col(m))).alias(name)
+            for name, (level, m, length) in zip(MARKET_READ, _READ_PARTS)
+        ]
+    )
+    return _with_national(regional, "region", ["promo_yr_wk", "own_upc"], {m: F.sum(m) for m in MARKET_READ})
+
+
 # ---- merge -----------------------------------------------------------------
 
 def _upper_region(df: DataFrame) -> DataFrame:
@@ -535,11 +566,13 @@ class PriceGapPlan:
     clean = cached_property(lambda s: market_clean(s.inputs.market))
     mapped = cached_property(lambda s: market_mapped(s.clean, s.inputs.upc_map))
     duplicated = cached_property(lambda s: market_duplicates(s.mapped))
-    split = cached_property(lambda s: market_split(s.duplicated))
+    shared = cached_property(lambda s: market_shared(s.clean, s.inputs.upc_map))
+    split = cached_property(lambda s: market_split(s.shared))
     levels = cached_property(lambda s: market_levels(s.split))
     by_level = cached_property(lambda s: market_by_level(s.levels))
     by_period = cached_property(lambda s: market_by_period(s.by_level))
-    attached = cached_property(lambda s: attach_market(s.volume_levels, s.by_period))
+    pivoted = cached_property(lambda s: market_pivot(s.split))
+    attached = cached_property(lambda s: attach_market(s.volume_levels, s.pivoted))
     rolled = cached_property(lambda s: roll_up_upcs(s.attached))
     priced = cached_property(lambda s: attach_prices(s.rolled, s.own_modal, s.competitor_modal))
     inferred = cached_property(lambda s: infer_competitor(s.priced))

@@ -261,6 +261,13 @@ stage(
     lambda v: plan(v).by_period,
     rounds([f"{a}_{m}_{p}" for p in pg.PERIODS for a in pg.LEVELS for m in pg.MEASURES], 4),
 )
+query(
+    "gap_market_pivot",
+    "K19 K20 K21 D8 D9",
+    f"select promo_yr_wk, region, own_upc, {MKT} from ({stage_sql('p_by_period')})",
+    READ,
+)(lambda v: plan(v).pivoted)
+query("gap_market_shared", "K16 K17", stage_sql("p_dup"), MARKET)(lambda v: plan(v).shared)
 stage("attach_market", "K22 C6 B2", "p_attached", lambda v: plan(v).attached, f"{READ} {OWN}")
 stage("roll_up_upcs", "K23", "p_rolled", lambda v: plan(v).rolled, f"{READ} {OWN}")
 stage("attach_prices", "K24 C7 D13", "p_priced", lambda v: plan(v).priced, f"{READ} {OWN} {PRICES}")
