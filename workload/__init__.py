@@ -2,4 +2,16 @@
 
 from workload.registry import QUERIES  # noqa: F401
 
-from workload import catalog, competitive, network, price_gap, pricing, quality, sales, stats, timeseries  # noqa: F401, E402
+from workload import (  # noqa: E402
+    catalog,
+    competitive,
+    network,
+    price_gap,
+    pricing,
+    primitives,
+    quality,
+    sales,
+    stats,
+    streaming,
+    timeseries,
+)

@@ -54,8 +54,8 @@ def check(spark, con, folder, name) -> str:
     text = f"FAIL  {name} {spent:.1f}s rows {len(got[1])} vs {len(want[1])}"
     if got[0] != want[0]:
         return text + f"\n   columns {got[0]} vs {want[0]}"
-    only_got = [r for r in got[1] if r not in set(want[1])][:3]
-    only_want = [r for r in want[1] if r not in set(got[1])][:3]
+    only_got = sorted(set(got[1]) - set(want[1]))[:3]
+    only_want = sorted(set(want[1]) - set(got[1]))[:3]
     return text + f"\n   {got[0]}\n   spark  {only_got}\n   duckdb {only_want}"
 
 
