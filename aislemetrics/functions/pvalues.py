@@ -10,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -40,7 +42,7 @@ def incomplete_beta(a, b, x) -> np.ndarray:
     a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
     inner = np.clip(x, 1e-300, 1 - 1e-16)
     front = np.exp(
-        _LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b) + a * np.log(inner) + b * np.log1p(-inner)
+        _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(inner) + b * np.log1p(-inner)
     )
     left = inner < (a + 1) / (a + b + 2)
     value = np.where(
