@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,15 +39,31 @@ def keep_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def save_table(df: DataFrame, name: str, if_exists: str = "replace", partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a catalog table: ``replace`` it, ``keep`` an existing one, or ``fail``."""
+def save_table(
+    df: DataFrame, name: str, if_exists: str = "replace", partition_by: Sequence[str] = (), path: str | None = None
+) -> DataFrame:
+    """Write a catalog table: ``replace`` it, ``keep`` an existing one, or ``fail``.
+
+    With ``path`` the table is external and its files live there.
+    """
     mode = {"replace": "overwrite", "keep": "ignore", "fail": "errorifexists"}[if_exists]
     writer = df.write.mode(mode)
+    writer = writer.option("path", path) if path else writer
     writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.saveAsTable(name)
     return df.sparkSession.read.table(name)
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a prepared frame cached while several results are taken from it."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def save_summary(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Write a summary frame (a handful of rows) as one file in ``path``."""
     df.coalesce(1).write.mode("overwrite").format(fmt).save(path)

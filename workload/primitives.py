@@ -31,6 +31,30 @@ def summary(v):
     return v.spark.read.schema("records bigint, units double").json(path)
 
 
+def table_sink(v):
+    """Create or replace a table, then scan it through the catalog."""
+    name = f"catalog_copy_{uuid.uuid4().hex}"
+    files.save_table(v.catalog, name, path=scratch(v))
+    return files.read_table(v.spark, name).select("item_nbr", "brand_name", "cost")
+
+
+def mean_of_price_columns(v):
+    """Columns chosen by type and by name, averaged in one pass."""
+    chosen = [c for c in cols.columns_named(v.store_price, "price", "amt") if c in cols.numeric_columns(v.store_price)]
+    means = v.store_price.agg(*[F.avg(c).alias(c) for c in chosen])
+    return means.unpivot([], chosen, "column", "mean")
+
+
+query("table_sink", "A3 A6", "select item_nbr, brand_name, cost from catalog", "cost:4")(table_sink)
+query(
+    "price_column_means",
+    "B32 B33",
+    " union all ".join(
+        f"select '{c}' as \"column\", avg({c}) as mean from store_price"
+        for c in ("live_price_amt", "defined_reg_price_amt", "competitor_price_amt")
+    ),
+    "mean:7",
+)(mean_of_price_columns)
 query("csv_scan", "A1", "select * from catalog", "base_unit_retail_amt:2 cost:4")(lambda v: delimited(v, ","))
 query("tab_scan", "A2", "select * from catalog", "base_unit_retail_amt:2 cost:4")(lambda v: delimited(v, "\t"))
 query(
