@@ -15,6 +15,6 @@ def spark(tmp_path_factory):
     warehouse = tmp_path_factory.mktemp("warehouse")
     SparkSession.builder.config("spark.sql.warehouse.dir", str(warehouse))
     session = local_session("tests", 8)
-    session.conf.set("spark.sql.shuffle.partitions", "8")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
