@@ -10,7 +10,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -348,6 +349,16 @@ def market_pivot(split: DataFrame) -> DataFrame:
     return _with_national(regional, "region", ["promo_yr_wk", "own_upc"], {m: F.sum(m) for m in MARKET_READ})
 
 
+def market_rows_read(market: DataFrame) -> DataFrame:
+    """Feed rows that reach a measure read later. The filter is on stored columns, so it reaches the scan.
+
+    Exact before :func:`attach_market`: a key left without rows has NULL measures there either way.
+    """
+    name, period = F.col("market_description"), F.col("period_description")
+    used = sorted({(level, length) for level, _, length in _READ_PARTS})
+    return market.where(reduce(or_, [name.like(LEVELS[a]) & period.like(PERIODS[b]) for a, b in used]))
+
+
 # ---- merge -----------------------------------------------------------------
 
 def _upper_region(df: DataFrame) -> DataFrame:
@@ -572,7 +583,12 @@ class PriceGapPlan:
     by_level = cached_property(lambda s: market_by_level(s.levels))
     by_period = cached_property(lambda s: market_by_period(s.by_level))
     pivoted = cached_property(lambda s: market_pivot(s.split))
-    attached = cached_property(lambda s: attach_market(s.volume_levels, s.pivoted))
+    market_read = cached_property(
+        lambda s: market_pivot(
+            market_split(market_shared(market_clean(market_rows_read(s.inputs.market)), s.inputs.upc_map))
+        )
+    )
+    attached = cached_property(lambda s: attach_market(s.volume_levels, s.market_read))
     rolled = cached_property(lambda s: roll_up_upcs(s.attached))
     priced = cached_property(lambda s: attach_prices(s.rolled, s.own_modal, s.competitor_modal))
     inferred = cached_property(lambda s: infer_competitor(s.priced))
