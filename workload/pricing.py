@@ -1,6 +1,6 @@
 """Store price queries."""
 
-from aislemetrics.operators import prepare, pricing
+from aislemetrics.operators import prepare, pricing, quality
 from workload.quality import BOX_ROUNDS, DESCRIBE_ROUNDS, box_sql, describe_sql
 from workload.registry import query
 from workload.sales import ends
@@ -160,11 +160,5 @@ query(
     "value,series_avg:7",
 )(lambda v: pricing.price_series(m(v), by=("region_nm",)))
 query("price_box_by_store", "J14", box_sql("store_nbr", "live_price_amt", "price_m"), BOX_ROUNDS)(
-    lambda v: pricing_box(v)
+    lambda v: quality.box_stats(v.store_price, "store_nbr", "live_price_amt")
 )
-
-
-def pricing_box(v):
-    from aislemetrics.operators.quality import box_stats
-
-    return box_stats(v.store_price, "store_nbr", "live_price_amt")
