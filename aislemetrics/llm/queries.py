@@ -2,16 +2,66 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aislemetrics.llm import exact_dedup, near_dedup
-from aislemetrics.llm.common import LOWER, UPPER, table
+from aislemetrics.llm import bpe, chat, decontaminate, exact_dedup, lm, near_dedup, quality, secrets, suffixes, url_filter
+from aislemetrics.llm.common import LOWER, UPPER, crc_mod, table
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALLOW = ["org/", "com/fr/"]
+BLOCK = ["example.org/es/", "example.org/en/1", "com/de/"]
+ACCEPT = 0.7  # least score of a predicted label 1
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(texts(spark, sf_dir))
+    size = F.size("spans").cast("long")
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), size.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a frame with doc_id and text."""
+    out = bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(texts(spark, sf_dir))
+
+
+def op3_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, ALLOW, BLOCK).select("page_id", "host", "path", "rule", "verdict", "figure", "p_allow")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.found(texts(spark, sf_dir))
+    counts = [secrets.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base, spans = secrets.written(F.col("base")), secrets.written(F.col("spans"))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.threads(table(spark, sf_dir, "conversations"))
+
+
+def op6_log_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(texts(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup.exact_groups(texts(spark, sf_dir))
 
 
 OP7_SQL = f"""
@@ -22,7 +72,7 @@ from low join best on low.body = best.body"""
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+    return near_dedup.near_groups(texts(spark, sf_dir), size=3, percent=85)
 
 
 OP8_SQL = rf"""
@@ -45,8 +95,21 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesc
   s.doc_id = least(s.doc_id, coalesce(min(c.b), s.doc_id)) as kept
 from sets s left join closure c on c.a = s.doc_id group by s.doc_id, s.s"""
 
-QUERIES = {
-    "op7_exact_dedup": op7_exact_dedup,
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
-}
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("id"), 4) != 2)
+    score = quality.quality_score(spark, model)
+    out = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), score("text").alias("score"))
+    return out.withColumn("predicted", F.when(F.col("score") >= ACCEPT, 1).otherwise(0))
+
+
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.marked(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_bpe_round_trip, op3_url_language_model, op4_secret_scan, op5_quotation_linking, op6_log_bloom_lm,
+    op7_exact_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_template_decontamination,
+)}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
