@@ -14,6 +14,7 @@ Columns beyond id and text are ignored, so clashing names do no harm. An empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -61,12 +62,17 @@ def fingerprint(data: bytes, primes=PRIMES) -> list[int]:
     return out
 
 
-def _fingerprints(primes):
+def _marks(primes):
+    """Fingerprint, length and SHA-256 of lower-cased texts; ``bytes.lower`` touches A-Z only."""
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(*fingerprint(x, primes), len(x)) for x in batch], columns=["h1", "h2", "n"]).astype("int64")
+            data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch]
+            rows = [(*fingerprint(x, primes), len(x), sha256(x).hexdigest()) for x in data]
+            yield pd.DataFrame(rows, columns=["h1", "h2", "n", "sha"]).astype({"h1": "int64", "h2": "int64", "n": "int64", "sha": "object"})
 
-    return F.pandas_udf(run, "h1 long, h2 long, n long")
+    # so marked, the optimizer does not compute it once more for a filter below
+    return F.pandas_udf(run, "h1 long, h2 long, n long, sha string").asNondeterministic()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes=PRIMES) -> DataFrame:
@@ -76,14 +82,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A large group is compared in cells of ``CELL`` members, each with its own copy of the
     representative's chunks. A member that differs from its representative falls back to its SHA-256.
     """
-    data = F.encode(ascii_lower(F.col(text_col)), "utf-8")
-    source = docs.select(F.col(id_col).alias("doc_id"), data.alias("data"))
-    marked = source.withColumn("fp", _fingerprints(primes)("data"))
-    marks = materialize(
-        marked.select(
-            "doc_id", F.monotonically_increasing_id().alias("row"), "fp.h1", "fp.h2", "fp.n", F.sha2("data", 256).alias("sha")
-        )
-    )
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = source.withColumn("fp", _marks(primes)("text"))
+    marks = materialize(marked.select("doc_id", F.monotonically_increasing_id().alias("row"), "fp.h1", "fp.h2", "fp.n", "fp.sha"))
     fp = ["h1", "h2", "n"]
     groups = marks.groupBy(*fp).agg(F.count("*").alias("size"), F.max("doc_id").alias("rep_id"))
     twice = materialize(groups.filter("size > 1"))
@@ -118,9 +119,11 @@ def _compared(marked: DataFrame, twice: DataFrame, fp: list[str]) -> DataFrame:
     with all of the others, and the whole group falls back to SHA-256.
     """
     small = twice.count() * 48 <= BROADCAST_BYTES
-    rows = marked.select("data", "doc_id", "fp.h1", "fp.h2", "fp.n")
+    rows = marked.select("text", "doc_id", "fp.h1", "fp.h2", "fp.n")
     members = rows.join(F.broadcast(twice) if small else twice, fp)
-    members = members.withColumn("cells", F.ceil(F.col("size") / CELL).cast("int"))
+    cells = F.ceil(F.col("size") / CELL).cast("int")
+    # written once, as both sides of the comparison read it
+    members = materialize(members.select("doc_id", "rep_id", cells.alias("cells"), *fp, F.encode(ascii_lower(F.col("text")), "utf-8").alias("data")))
     step = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / CHUNK).cast("int")), lambda i: i * CHUNK)
     pieces = F.transform(step, lambda at: F.substring(F.col("data"), at + 1, F.lit(CHUNK)))
     members = members.select("doc_id", "rep_id", "cells", *fp, pieces.alias("pieces"))
