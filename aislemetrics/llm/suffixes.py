@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import by_key, written
+from aislemetrics.llm.common import BROADCAST_BYTES, by_key, written
 from aislemetrics.session import materialize
 
 LENGTH = 400
@@ -398,17 +398,19 @@ def repeated(source: DataFrame, plan: Plan, hot: int = HOT) -> DataFrame:
     seeds = materialize(seeds)
     packed = F.collect_list(F.struct("q", "s", "e", "core", "solo")).alias("seeds")  # at most the anchors of one document
 
-    def with_texts(rows: DataFrame) -> DataFrame:
-        return source.join(rows.groupBy("a", "h").agg(packed), ["a", "h"]).select("a", "h", "text", "seeds")
+    def with_texts(rows: DataFrame, small: bool = False) -> DataFrame:
+        rows = rows.groupBy("a", "h").agg(packed)
+        return source.join(F.broadcast(rows) if small else rows, ["a", "h"]).select("a", "h", "text", "seeds")
 
     buckets = 4 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = with_texts(seeds.filter(F.col("kinds") <= hot)).mapInPandas(_runs(plan, buckets), "bucket long, run long, seq int, data binary")
     runs = runs.repartition("bucket").sortWithinPartitions("bucket", "run", "seq")
     out = inside.unionByName(copies).unionByName(runs.mapInPandas(_merged_groups(plan), "a long, h long, s long, e long"))
     busy = seeds.filter(F.col("kinds") > hot)
-    if not busy.isEmpty():
-        windows = with_texts(busy).mapInPandas(_windows(plan), "a long, h long, p long, one long, two long, weight long")
-        windows = materialize(windows)
+    if n := busy.count():
+        # the documents meet few such anchors: below a measured size they are broadcast, else joined like the others
+        few = with_texts(busy, n * 64 <= BROADCAST_BYTES)
+        windows = few.mapInPandas(_windows(plan), "a long, h long, p long, one long, two long, weight long")
         twice = materialize(windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).filter("n > 1").select("one", "two"))
         met = windows.filter("weight = 1").join(twice, ["one", "two"])
         out = out.unionByName(met.select("a", "h", F.col("p").alias("s"), (F.col("p") + plan.length).alias("e")))
