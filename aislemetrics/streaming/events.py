@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from ..functions.columns import coerce_numeric
 from ..session import checkpoint_root
 
 
+#: Time of the row that ends a finite stream.
+END = dt.datetime(2900, 1, 1)
+
+
 def ingest(
     spark: SparkSession,
     path: str,
@@ -67,18 +72,33 @@ def session_totals(
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all data present, write the result under the checkpoint folder and read it back.
+def run_available(stream: DataFrame) -> DataFrame:
+    """Process all data present in append mode (exactly-once file sink) and read the result back."""
+    root = f"{checkpoint_root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return _appended(stream, root)
+
+
+def _appended(stream: DataFrame, root: str) -> DataFrame:
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def run_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], start: str, ts: str = "ts") -> DataFrame:
+    """Process all data present, and close the windows that are still open at the end of it.
 
-    ``append`` uses the exactly-once file sink. ``complete`` replaces the result table per batch.
+    ``build`` makes windows from ``source`` and is run in append mode, so a window is written once,
+    when the watermark passes it, and its state goes. After the last data a second run on the same
+    state reads one row far in the future, which moves the watermark past every window; that row's
+    own window never closes. ``start``: name of the window's first column.
     """
-    spark = stream.sparkSession
+    spark = source.sparkSession
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    out = f"{root}/out"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    flush = f"{root}/flush"
+    blank = spark.createDataFrame([], source.schema)
+    blank.coalesce(1).write.parquet(flush)
+    closed = build(source.unionByName(spark.readStream.schema(source.schema).parquet(flush)))
+    _appended(closed, root)
+    row = {f.name: None for f in source.schema} | {ts: END}
+    spark.createDataFrame([tuple(row[f.name] for f in source.schema)], source.schema).coalesce(1).write.mode("append").parquet(flush)
+    return _appended(closed, root).where(F.col(start) < F.lit(END) - F.expr("interval 7 days"))

@@ -1,7 +1,10 @@
 """Stream queries: each runs a stream over the whole event table and is checked as a batch."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from aislemetrics.session import checkpoint_root
 from aislemetrics.streaming import events
 from workload.registry import query
 
@@ -13,6 +16,26 @@ def stream(v):
     return events.ingest(v.spark, f"{v.folder}/events.parque[t]", SCHEMA, ["value"])
 
 
+LATE = "3 days"  # longest delay of an event in ``delayed``
+PARTS = 5
+
+
+def delayed(v):
+    """The event table as files that arrive one by one, every tenth event up to two days late.
+
+    Four files at a time are written in the order of arrival; each micro-batch takes four.
+    """
+    folder = f"{checkpoint_root(v.spark)}/arrivals-{uuid.uuid4().hex}"
+    rows = v.spark.read.schema(SCHEMA).parquet(f"{v.folder}/events.parquet")
+    arrives = F.col("ts") + F.expr("make_interval(0, 0, 0, if(event_id % 10 = 0, cast(event_id % 3 as int), 0))")
+    seconds = arrives.cast("double")
+    low, high = rows.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.floor((seconds - low) / max(1.0, high - low + 1) * PARTS)
+    for k in range(PARTS):
+        rows.where(part == k).repartition(4).write.mode("append").parquet(folder)
+    return events.ingest(v.spark, folder, SCHEMA, ["value"], files_per_batch=4)
+
+
 query("stream_ingest", "L1", "select event_id, user_id, event_type, value from events")(
     lambda v: events.run_available(stream(v).select("event_id", "user_id", "event_type", "value"))
 )
@@ -22,14 +45,14 @@ query(
     "select date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end, event_type, "
     "count(*) as n, sum(value) as total from events group by 1, 2, 3",
     "total:2",
-)(lambda v: events.run_available(events.windowed_totals(stream(v)), "complete"))
+)(lambda v: events.run_closed(delayed(v), lambda e: events.windowed_totals(e, late=LATE), "window_start"))
 query(
     "stream_sliding_totals",
     "L2",
     "select s as window_start, s + interval 2 hour as window_end, event_type, count(*) as n, sum(value) as total from "
     "(select *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as s from events) group by 1, 2, 3",
     "total:2",
-)(lambda v: events.run_available(events.windowed_totals(stream(v), "2 hours", "1 hour"), "complete"))
+)(lambda v: events.run_closed(delayed(v), lambda e: events.windowed_totals(e, "2 hours", "1 hour", late=LATE), "window_start"))
 query("stream_first_seen", "L3", "select distinct event_id, event_type, value from events")(
     lambda v: events.run_available(
         events.first_seen(stream(v).unionByName(stream(v))).select("event_id", "event_type", "value")
@@ -57,4 +80,4 @@ query(
     "ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minute or lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end as fresh "
     "from events)) group by user_id, session",
     "total:2",
-)(lambda v: events.run_available(events.session_totals(stream(v)), "complete"))
+)(lambda v: events.run_closed(delayed(v), lambda e: events.session_totals(e, late=LATE), "session_start"))
