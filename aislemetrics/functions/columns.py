@@ -152,3 +152,15 @@ def text_columns(df: DataFrame) -> list[str]:
 def columns_named(df: DataFrame, *parts: str) -> list[str]:
     """Columns whose lower-case name contains one of ``parts``."""
     return [c for c in df.columns if any(p in c.lower() for p in parts)]
+
+
+def crosstab(long: DataFrame, row: str, column: str, value: str, fill=None, most: int = 200) -> DataFrame:
+    """A matrix from (row, column, value): one column for every value of ``column`` in the data.
+
+    The distinct values are read first; more than ``most`` raise, none is dropped.
+    """
+    found = [r[0] for r in long.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    wide = long.groupBy(row).pivot(column, sorted(found)).agg(F.first(value, ignorenulls=True)) if found else long.select(row).distinct()
+    return wide if fill is None else wide.fillna(fill, [str(c) for c in sorted(found)])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import numbers_by
 from ..functions.columns import has_keys
-from ..functions.running import cumulative_share, quantile_row
+from ..functions.running import cumulative_share, quantile_row, quantiles_row
+from ..session import materialize
 from .quality import value_counts
 
 
@@ -143,8 +144,9 @@ def strategic_class(df: DataFrame, dept: str = "dept_desc", price: str = "base_u
             F.round(F.avg("margin_percent"), 2).alias("avg_margin"),
         )
     )
-    volume = F.col("products") > quantile_row(per, "products", [0.5])["q50"]
-    margin = F.col("avg_margin") > quantile_row(per, "avg_margin", [0.5])["q50"]
+    per = materialize(per)  # one row per department
+    median = quantiles_row(per, ["products", "avg_margin"])
+    volume, margin = F.col("products") > median["products"], F.col("avg_margin") > median["avg_margin"]
     both, large, rich, neither = QUADRANTS
     label = F.when(volume & margin, both).when(volume, large).when(margin, rich).otherwise(neither)
     return per.withColumn("strategy", label)
@@ -189,11 +191,8 @@ def vendor_profitability(df: DataFrame, k: int = 10) -> DataFrame:
     return _largest_vendors(df, k).orderBy(F.desc("avg_margin_pct"), "vendor_name")
 
 
-def vendor_brand_map(df: DataFrame, k: int = 10, brand_types: Sequence[str] = ("NB", "PL")) -> DataFrame:
-    """Items per brand type for the largest vendors, zero where there are none."""
+def vendor_brand_map(df: DataFrame, k: int = 10) -> DataFrame:
+    """Items per vendor and brand type for the largest vendors, one row for each pair that occurs."""
     largest = _largest_vendors(df, k).select("vendor_name")
-    known = df.where(F.col("brand_type").isNotNull())
-    counted = known.groupBy("vendor_name").agg(
-        *[F.count_if(F.col("brand_type") == t).alias(t) for t in brand_types]
-    )
+    counted = df.where(F.col("brand_type").isNotNull()).groupBy("vendor_name", "brand_type").agg(F.count(F.lit(1)).alias("items"))
     return counted.join(largest, "vendor_name", "left_semi")

@@ -90,11 +90,12 @@ def region_brand(df: DataFrame, region: str = "hg_region") -> DataFrame:
     )
 
 
-def interaction_matrix(
-    df: DataFrame, brand_types: Sequence[str] = ("NB", "PL"), region: str = "hg_region"
-) -> DataFrame:
-    """Mean gap per region (rows) and brand type (columns). Naming the columns saves a job."""
-    return has_keys(df, region).groupBy(region).pivot("brand_type", list(brand_types)).agg(F.avg(GAP))
+def interaction_matrix(df: DataFrame, region: str = "hg_region") -> DataFrame:
+    """Mean gap per region and brand type, one row for each pair that occurs.
+
+    ``functions.columns.crosstab`` turns it into a matrix with the brand types found as columns.
+    """
+    return numbers_by(has_keys(df, region, "brand_type"), [region, "brand_type"], {"avg_gap": F.avg(GAP)})
 
 
 def panel_variance(df: DataFrame, store: str = "hg_store_id") -> DataFrame:

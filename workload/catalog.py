@@ -170,6 +170,6 @@ query("vendor_profitability", "J32 C13", _VENDORS, "avg_margin_pct:6")(lambda v:
 query(
     "vendor_brand_map",
     "J33 D11 C13",
-    "select vendor_name, count(*) filter (brand_type = 'NB') as \"NB\", count(*) filter (brand_type = 'PL') as \"PL\" "
-    f"from catalog_m where brand_type is not null and vendor_name in (select vendor_name from ({_VENDORS})) group by 1",
+    "select vendor_name, brand_type, count(*) as items from catalog_m "
+    f"where brand_type is not null and vendor_name in (select vendor_name from ({_VENDORS})) group by all",
 )(lambda v: catalog.vendor_brand_map(m(v)))

@@ -73,8 +73,8 @@ query(
 query(
     "interaction_matrix",
     "J97 D10",
-    f"select hg_region, avg({GAP}) filter (brand_type = 'NB') as \"NB\", avg({GAP}) filter (brand_type = 'PL') as \"PL\" from instore where hg_region is not null group by 1",
-    "NB,PL:7",
+    f"select hg_region, brand_type, avg({GAP}) as avg_gap from instore where hg_region is not null and brand_type is not null group by all",
+    "avg_gap:7",
 )(lambda v: competitive.interaction_matrix(v.instore))
 query(
     "panel_variance",
