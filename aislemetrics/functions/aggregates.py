@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,21 +40,25 @@ def key_of_min(key: str, value: str) -> Column:
     return F.min_by(F.col(key), F.struct(F.col(value), F.col(key)))
 
 
+def tall_moments(df: DataFrame, columns: Sequence[str], moments: dict[str, Callable]) -> DataFrame:
+    """One row per column with its moments: one aggregation of the rows, then rows from its one row.
+
+    ``moments`` must have ``n``; a column without values gives no row.
+    """
+    wide = df.agg(*[f(c).alias(f"{i}_{n}") for i, c in enumerate(columns) for n, f in moments.items()])
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{n}").alias(n) for n in moments]) for i, c in enumerate(columns)
+    ]
+    return wide.select(F.inline(F.array(*rows))).where("n > 0")
+
+
 def describe(df: DataFrame, columns: Sequence[str], with_quartiles: bool = True) -> DataFrame:
     """One row per column: count, mean, std, min, quartiles, max of its non-null values."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
-    long = long.where(F.col("value").isNotNull())
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    stats = tall_moments(data, columns, {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     if not with_quartiles:
         return stats
+    long = data.unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull())
     return stats.join(quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"]), "column")
 
 

@@ -112,6 +112,16 @@ def quantile_row(df: DataFrame, value: str | Column, probs: Sequence[float], nam
     return scalar_row(quantiles(df, value, probs, names))
 
 
+def quantiles_row(df: DataFrame, columns: Sequence[str], prob: float = 0.5) -> Column:
+    """One quantile of several columns, as a struct-valued scalar subquery with a field for each.
+
+    The columns share one counting pass. ``df`` should be a few kept rows; it is read once.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "_column", "_value")
+    each = quantiles(long, "_value", [prob], ["_q"], by=["_column"])
+    return scalar_row(each.agg(*[F.max(F.when(F.col("_column") == c, F.col("_q"))).alias(c) for c in columns]))
+
+
 def cumulative_share(df: DataFrame, entity: str | Sequence[str], measure: str) -> DataFrame:
     """Entities in descending order of ``measure``: rank, running sum and running share in %."""
     keys = [entity] if isinstance(entity, str) else list(entity)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import numbers_by
 from ..functions.columns import rate
-from ..functions.running import quantile_row
+from ..functions.running import quantiles_row
 from ..session import materialize
 from .series import total
 
@@ -88,8 +88,9 @@ def cluster_summary(clustered: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def cluster_profile(clustered: DataFrame, sales: str = "avg_sales", stock: str = "avg_inventory") -> DataFrame:
     """Name each cluster by its mean sales and inventory against the medians over stores."""
-    high = F.col(sales) > quantile_row(clustered, sales, [0.5])["q50"]
-    lean = F.col(stock) < quantile_row(clustered, stock, [0.5])["q50"]
+    clustered = materialize(clustered)  # one row per store
+    median = quantiles_row(clustered, [sales, stock])
+    high, lean = F.col(sales) > median[sales], F.col(stock) < median[stock]
     # fixed values: the four cluster names
     name = (
         F.when(high & lean, "High Performance (High Sales, Low Inventory)")

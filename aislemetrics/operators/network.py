@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregates import numbers_by
+from ..session import scalar_row
 from .series import both_ends
 
 BLOCK = 256
@@ -66,10 +67,14 @@ def _block_pairs(df: DataFrame, store: str, week: str, value: str, by: Sequence[
         (F.row_number().over(Window.orderBy(week)) - 1).alias("_pos"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("_weeks"),
     )
-    blocks = cells.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct(store) / block)).alias("n")).scalar()
-    own = F.pmod(F.xxhash64(store), blocks).cast("int")
-    cells = cells.join(weeks, week).withColumn("_block", own)
-    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    needed = F.greatest(F.lit(1), F.ceil(F.count_distinct(store) / block)).cast("int")
+    cells = cells.join(weeks, week)
+    if by:  # blocks of the group's own stores
+        cells = cells.join(cells.groupBy(*by).agg(needed.alias("_blocks")), list(by))
+    else:
+        cells = cells.withColumn("_blocks", cells.agg(needed.alias("n")).scalar())
+    cells = cells.withColumn("_block", F.pmod(F.xxhash64(store), F.col("_blocks")).cast("int"))
+    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return cells.select(
         *by,
         store,
@@ -217,10 +222,34 @@ def network_stats(
     return out.where(F.col("stores") >= min_stores)
 
 
+def _mean_with_all(df: DataFrame, store: str, week: str, value: str) -> DataFrame:
+    cells = numbers_by(df, [store, week], {"_value": F.avg(value)}).where(F.col("_value").isNotNull())
+    weeks = cells.agg(F.count_distinct(week).alias("n")).scalar()
+    mean = F.sum("_value") / weeks
+    square = F.sum(F.col("_value") * F.col("_value")) - F.sum("_value") * mean
+    scale = F.sqrt(F.greatest(square, F.lit(0.0)))
+    flat = scale <= F.lit(1e-7) * F.greatest(F.max(F.abs("_value")), F.lit(1e-300)) * F.sqrt(weeks.cast("double"))
+    per = cells.groupBy(store).agg(mean.alias("_mean"), F.when(~flat, scale).alias("_scale"))
+    cells = cells.join(per, store)
+    by_week = cells.groupBy(week).agg(F.sum(F.col("_value") / F.col("_scale")).alias("_sum"))
+    rest = scalar_row(by_week.agg(F.sum("_sum").alias("total")))["total"]
+    stores = per.agg(F.count("_scale").alias("n")).scalar()
+    met = cells.join(by_week, week).groupBy(store).agg(
+        F.sum(F.col("_value") * F.col("_sum")).alias("_dot"), F.first("_mean").alias("_mean"), F.first("_scale").alias("_scale")
+    )
+    return met.select(store, ((F.col("_dot") - F.col("_mean") * rest) / F.col("_scale") / stores).alias("mean_r"))
+
+
 def connectedness(
     df: DataFrame, store: str, week: str, value: str, fill_zero: bool = True, block: int = BLOCK
 ) -> DataFrame:
-    """Mean correlation of each store with all stores, itself (1.0) included."""
+    """Mean correlation of each store with all stores, itself (1.0) included.
+
+    With zero fill the rows z of standardised weeks give r_ij = z_i z_j, and the sum over all j is
+    z_i times the sum of the z_j: two aggregations over (store, week), no pairs.
+    """
+    if fill_zero:
+        return _mean_with_all(df, store, week, value)
     per = _per_store(df, store, week, value, (), fill_zero, 2.0, 0, block)
     mean = F.try_divide(F.col("sum_r") + F.col("n_self"), F.col("n_r") + F.col("n_self"))
     return per.select(store, mean.alias("mean_r"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import describe, key_of_max, key_of_min, numbers_by, variation
 from ..functions.columns import cycle_week, has_keys, rate
-from ..functions.running import quantile_row
-from ..session import scalar_row
+from ..functions.running import quantiles_row
+from ..session import materialize, scalar_row
 from .prepare import with_category
 from .quality import value_counts
 from .series import both_ends, top_rows, whole
@@ -146,8 +146,9 @@ def pricing_strategy(df: DataFrame) -> DataFrame:
             "avg_gap": F.round(F.avg(GAP), 3),
         },
     )
-    dear = F.col("avg_price") > quantile_row(per, "avg_price", [0.5])["q50"]
-    often = F.col("promo_rate") > quantile_row(per, "promo_rate", [0.5])["q50"]
+    per = materialize(per)  # one row per store, read for the medians and again for the result
+    median = quantiles_row(per, ["avg_price", "promo_rate"])
+    dear, often = F.col("avg_price") > median["avg_price"], F.col("promo_rate") > median["promo_rate"]
     # fixed values: the four strategy labels
     label = (
         F.when(dear & ~often, "Premium").when(~dear & ~often, "EDLP").when(dear & often, "Hi-Lo").otherwise("Discount")

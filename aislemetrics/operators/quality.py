@@ -121,10 +121,11 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def value_counts(df: DataFrame, column: str, share: bool = True) -> DataFrame:
     """Rows per non-null value, with their share of all rows in percent."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    if share:
-        rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    if share:  # the null group counts as rows; the exchange of the groups serves both
+        rows = counted.agg(F.sum("n").alias("rows")).scalar()
         counted = counted.withColumn("pct", F.try_divide(F.col("n"), rows) * 100)
+    counted = counted.where(F.col(column).isNotNull())
     return counted.orderBy(F.desc("n"), column)
 
 

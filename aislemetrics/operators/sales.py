@@ -173,6 +173,7 @@ def _abc(stats: DataFrame, c: SalesColumns) -> DataFrame:
 
 
 def _thirds(stats: DataFrame, labels: Sequence[str], out: str) -> DataFrame:
+    stats = materialize(stats)  # one row per item
     q = quantile_row(stats, "cv", [0.33, 0.67])
     low, mid, high = labels
     label = F.when(F.col("cv") <= q["q33"], low).when(F.col("cv") <= q["q67"], mid).otherwise(high)
@@ -223,7 +224,7 @@ def abc_xyz_matrix(df: DataFrame, c: SalesColumns = C) -> DataFrame:
 
 def velocity_classes(df: DataFrame, c: SalesColumns = C) -> DataFrame:
     """Items fast (units above the median) or slow."""
-    per = numbers_by(df, [c.item], {"units": total(c.qty)})
+    per = materialize(numbers_by(df, [c.item], {"units": total(c.qty)}))
     fast = F.col("units") > quantile_row(per, "units", [0.5])["q50"]
     return per.withColumn("velocity", F.when(fast, "fast").otherwise("slow"))
 
@@ -404,7 +405,7 @@ def inventory_turnover(df: DataFrame, c: SalesColumns = C) -> DataFrame:
 
 
 def turnover_summary(df: DataFrame, c: SalesColumns = C) -> DataFrame:
-    per = inventory_turnover(df, c)
+    per = materialize(inventory_turnover(df, c))
     median = quantile_row(per, "turnover", [0.5])["q50"]
     return per.agg(F.count(F.lit(1)).alias("pairs"), F.avg("turnover").alias("avg_turnover")).withColumn(
         "median_turnover", median

@@ -9,7 +9,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import correlation
+from ..functions.aggregates import correlation, tall_moments
 from ..functions.columns import has_keys
 from ..functions.pvalues import chi2_2_pvalue, f_pvalue, t_pvalue
 
@@ -17,10 +17,11 @@ from ..functions.pvalues import chi2_2_pvalue, f_pvalue, t_pvalue
 def anova_oneway(df: DataFrame, value: str, group: str, level: float = 0.05) -> DataFrame:
     """One-way analysis of variance from per-group moments."""
     known = has_keys(df, group, value)
-    mean = known.agg(F.avg(value).alias("m")).scalar()
     per = known.groupBy(group).agg(
         F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")
     )
+    # from the groups, whose exchange serves both: the rows are read once
+    mean = per.agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("m")).scalar()
     sums = per.agg(
         F.count(F.lit(1)).alias("groups"),
         F.sum("n").alias("n"),
@@ -79,19 +80,9 @@ def _kurtosis_score(n: Column, excess: Column) -> Column:
 
 def normality_test(df: DataFrame, columns: Sequence[str], min_n: int = 8, level: float = 0.05) -> DataFrame:
     """Skewness, excess kurtosis and the omnibus K squared test per column, all closed form."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
-    moments = (
-        long.where(F.col("value").isNotNull())
-        .groupBy("column")
-        .agg(
-            F.count("value").alias("n"),
-            F.skewness("value").alias("skewness"),
-            F.kurtosis("value").alias("kurtosis"),
-        )
-        .where(F.col("n") >= min_n)
-    )
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    moments = tall_moments(data, columns, {"n": F.count, "skewness": F.skewness, "kurtosis": F.kurtosis})
+    moments = moments.where(F.col("n") >= min_n)
     n = F.col("n").cast("double")
     z1, z2 = _skew_score(n, F.col("skewness")), _kurtosis_score(n, F.col("kurtosis"))
     out = moments.withColumn("k2", z1 * z1 + z2 * z2).withColumn("p_value", chi2_2_pvalue(F.col("k2")))
