@@ -1,7 +1,8 @@
 """Weekly price-gap dashboard: own prices and sales against the market, per region and item group.
 
-Every stage is a function from DataFrames to a DataFrame; :class:`PriceGapPlan` wires them into one
-lazy plan, so nothing is written between stages. Week codes are YYYYWW; sources that hold 1YYWW are
+Every stage is a function from DataFrames to a lazy DataFrame. :class:`PriceGapPlan` wires them; what
+several stages read (weeks, calendar, own volume, modal prices, pivoted market) is kept in the
+checkpoint folder once, so asking for a later stage runs jobs. Week codes are YYYYWW; sources that hold 1YYWW are
 compared in their own code, which keeps the filter on the stored column.
 """
 
@@ -13,11 +14,12 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import WEEK_SHIFT, clean_upc, equalised, market_name_excluded, short_week_text
-from ..session import scalar_row
+from ..session import materialize, scalar_row
+from ..sources.files import read_delimited, save_table
 
 # Measures, market levels, period lengths and left-out markets of the market feed.
 MEASURES = tuple(m + y for m in ("sales", "units", "promo_sales", "promo_units") for y in ("", "_ya"))
@@ -125,17 +127,18 @@ def group_map(catalog: DataFrame) -> DataFrame:
 def item_sales(sales: DataFrame, catalog: DataFrame, stores: DataFrame, weeks: DataFrame, span: int = 200) -> DataFrame:
     """Sales and units per week, region, item and hierarchy over the last ``span`` week codes.
 
-    Sales are folded to week x region x item before the hierarchy is joined, so the join meets the
-    folded rows and a best-selling item is no hot key.
+    Sales are folded to week x store x item before the region is joined, and to week x region x item
+    before the hierarchy is, so neither a busy store nor a best-selling item is a hot key.
     """
     since = weeks.agg((F.max("week") - span).alias("since")).scalar()
     regions = stores.select("store_nbr", F.col("hg_region").alias("region")).distinct()
-    folded = (
+    sums = {"own_sales": "wkly_sales_amt", "own_units": "wkly_qty"}
+    by_store = (
         sales.where(F.col("wm_yr_wk_nbr") >= since)
-        .join(regions, "store_nbr", "left")
-        .groupBy(F.col("wm_yr_wk_nbr").alias("week"), "region", "item_nbr", "upc_nbr")
-        .agg(F.sum("wkly_sales_amt").alias("own_sales"), F.sum("wkly_qty").alias("own_units"))
+        .groupBy(F.col("wm_yr_wk_nbr").alias("week"), "store_nbr", "item_nbr", "upc_nbr")
+        .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     )
+    folded = _summed(by_store.join(regions, "store_nbr", "left"), ["week", "region", "item_nbr", "upc_nbr"], list(sums))
     hierarchy = catalog.select(
         "item_nbr",
         "sbu_nbr",
@@ -332,20 +335,25 @@ def market_by_period(by_level: DataFrame) -> DataFrame:
     )
 
 
-def market_pivot(split: DataFrame) -> DataFrame:
-    """The market measures that later stages read, by region and nationally, in one aggregation.
+def market_pivot(clean: DataFrame, upc_map: DataFrame) -> DataFrame:
+    """The market measures that later stages read, by region and nationally, per own UPC.
 
-    Same figures as :func:`market_levels`, :func:`market_by_level` and :func:`market_by_period` in
-    turn, without shuffling the tall rows three times: conditional sums per region first, then the
-    national total over those few rows.
+    Same figures as :func:`market_split`, :func:`market_levels`, :func:`market_by_level` and
+    :func:`market_by_period` in turn. The share of an own UPC is one factor per (region, market
+    UPC), so the tall rows are pivoted first and the map is joined to the folded ones; the national
+    total is taken over the few rows at the end.
     """
     market, period = F.col("market_description"), F.col("period_description")
-    regional = split.groupBy("promo_yr_wk", "region", "own_upc").agg(
+    kept = clean.where((F.col("sales") > 0) | (F.col("sales_ya") > 0))
+    folded = kept.groupBy("promo_yr_wk", "region", "market_upc").agg(
         *[
             F.sum(F.when(market.like(LEVELS[level]) & period.like(PERIODS[length]), F.col(m))).alias(name)
             for name, (level, m, length) in zip(MARKET_READ, _READ_PARTS)
         ]
     )
+    shared = market_shared(folded, upc_map)
+    share = F.greatest(F.col("own_upcs"), F.lit(1))
+    regional = shared.groupBy("promo_yr_wk", "region", "own_upc").agg(*[F.sum(F.col(m) / share).alias(m) for m in MARKET_READ])
     return _with_national(regional, "region", ["promo_yr_wk", "own_upc"], {m: F.sum(m) for m in MARKET_READ})
 
 
@@ -467,20 +475,17 @@ def group_sales(metrics: DataFrame, weeks: DataFrame, newest: int = 1, oldest: i
         "base_units",
         promoted.alias("promoted"),
     )
-    return _with_national(
-        kept,
-        "region",
-        ["week", "group_code"],
-        {
-            "units": F.sum("total_units"),
-            "sales": F.sum("total_sales"),
-            "promo_units": F.sum(F.when(F.col("promoted"), F.col("total_units"))),
-            "promo_sales": F.sum(F.when(F.col("promoted"), F.col("total_sales"))),
-            "baseline_units": F.sum("base_units"),
-            "incremental_units": F.sum(F.col("total_units") - F.col("base_units")),
-        },
-        label="national",
-    )
+    sums = {
+        "units": F.sum("total_units"),
+        "sales": F.sum("total_sales"),
+        "promo_units": F.sum(F.when(F.col("promoted"), F.col("total_units"))),
+        "promo_sales": F.sum(F.when(F.col("promoted"), F.col("total_sales"))),
+        "baseline_units": F.sum("base_units"),
+        "incremental_units": F.sum(F.col("total_units") - F.col("base_units")),
+    }
+    regional = kept.groupBy("week", "region", "group_code").agg(*[c.alias(n) for n, c in sums.items()])
+    # the total over the folded rows, so that no source row is expanded
+    return _with_national(regional, "region", ["week", "group_code"], {n: F.sum(n) for n in sums}, label="national")
 
 
 def attach_group_sales(weighted: DataFrame, groups: DataFrame) -> DataFrame:
@@ -497,6 +502,14 @@ def attach_group_sales(weighted: DataFrame, groups: DataFrame) -> DataFrame:
     ).drop("_region", "sales", "units")
 
 
+def actioned_list(spark: SparkSession, path: str) -> DataFrame:
+    """(group_code, effective_date) of a CSV file with the published headers; bad fields are NULL."""
+    raw = read_delimited(spark, path, "`Group Code` string, `Effective date` string")
+    return raw.select(
+        F.col("Group Code").try_cast("bigint").alias("group_code"), F.col("Effective date").try_cast("date").alias("effective_date")
+    )
+
+
 def actioned_view(
     merged: DataFrame, actioned: DataFrame, weeks: DataFrame, as_of: dt.date, strict_week: bool = False
 ) -> DataFrame:
@@ -561,19 +574,20 @@ class PriceGapPlan:
     fix_comp_live: bool = False
     history: int = field(default=52)
 
-    weeks = cached_property(lambda s: sales_weeks(s.inputs.sales, s.after_week))
-    calendar = cached_property(lambda s: display_calendar(s.inputs.calendar, s.as_of))
+    # a few hundred rows each, read by many stages
+    weeks = cached_property(lambda s: materialize(sales_weeks(s.inputs.sales, s.after_week)))
+    calendar = cached_property(lambda s: materialize(display_calendar(s.inputs.calendar, s.as_of)))
     groups = cached_property(lambda s: group_map(s.inputs.catalog))
     items = cached_property(lambda s: item_sales(s.inputs.sales, s.inputs.catalog, s.inputs.stores, s.weeks))
     volume = cached_property(lambda s: item_volume(s.items))
-    volume_levels = cached_property(lambda s: item_volume_levels(s.volume))
+    volume_levels = cached_property(lambda s: materialize(item_volume_levels(s.volume)))
     own = cached_property(lambda s: own_prices(s.inputs.prices, s.groups, nth_week(s.weeks, s.history)))
-    own_modal = cached_property(lambda s: modal_prices(s.own, ["own_reg", "own_live"]))
+    own_modal = cached_property(lambda s: materialize(modal_prices(s.own, ["own_reg", "own_live"])))
     competitor = cached_property(
         lambda s: competitor_prices(s.inputs.competitor, s.groups, nth_week(s.weeks, s.history), distinct=False)
     )
     low = cached_property(lambda s: market_low(s.competitor))
-    competitor_modal = cached_property(lambda s: modal_prices(s.low, ["comp_reg", "comp_live"]))
+    competitor_modal = cached_property(lambda s: materialize(modal_prices(s.low, ["comp_reg", "comp_live"])))
     clean = cached_property(lambda s: market_clean(s.inputs.market))
     mapped = cached_property(lambda s: market_mapped(s.clean, s.inputs.upc_map))
     duplicated = cached_property(lambda s: market_duplicates(s.mapped))
@@ -582,11 +596,9 @@ class PriceGapPlan:
     levels = cached_property(lambda s: market_levels(s.split))
     by_level = cached_property(lambda s: market_by_level(s.levels))
     by_period = cached_property(lambda s: market_by_period(s.by_level))
-    pivoted = cached_property(lambda s: market_pivot(s.split))
+    pivoted = cached_property(lambda s: market_pivot(s.clean, s.inputs.upc_map))
     market_read = cached_property(
-        lambda s: market_pivot(
-            market_split(market_shared(market_clean(market_rows_read(s.inputs.market)), s.inputs.upc_map))
-        )
+        lambda s: materialize(market_pivot(market_clean(market_rows_read(s.inputs.market)), s.inputs.upc_map))
     )
     attached = cached_property(lambda s: attach_market(s.volume_levels, s.market_read))
     rolled = cached_property(lambda s: roll_up_upcs(s.attached))
@@ -601,3 +613,15 @@ class PriceGapPlan:
     )
     shown = cached_property(lambda s: display_range(s.view, s.first_shown, s.last_shown))
     filters = cached_property(lambda s: filter_list(s.shown))
+
+    def publish(self, shown: str, filters: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Write the display table and the filter table, both from one run of the plan.
+
+        The second table is made from the first as written. ``path``: folder for external tables.
+        """
+
+        def save(df: DataFrame, name: str) -> DataFrame:
+            return save_table(df, name, path=f"{path}/{name}" if path else None)
+
+        main = save(self.shown, shown)
+        return main, save(filter_list(main), filters)

@@ -25,7 +25,7 @@ _RETAIL = (
     "case when p_partkey % 50 = 0 then 0e0 when p_partkey % 53 = 0 then null "
     "else cast(p_partkey * 37 % 6000 as double) / 1e2 end"
 )
-_BRAND_TYPE = "case when {k} % 10 = 0 then null when {k} % 4 = 1 then 'PL' else 'NB' end"
+_BRAND_TYPE = "case when {k} % 10 = 0 then null when {k} % 4 = 1 then 'PL' when {k} % 31 = 0 then 'XX' else 'NB' end"
 _COMP_REG = (
     "case when l_partkey % 23 = 0 then null else "
     f"l_extendedprice / l_quantity / (1e0 - l_discount) * {_FACTOR} end"
@@ -88,7 +88,7 @@ select {{wk}} - 190000 as promo_hg_yr_wk, r_name as region, l_partkey % 200 as g
 from {{lineitem}} {_GEO}""",
     "edlp_actioned": """
 select g as group_code, cast(date '2000-01-01' as date) as effective_date
-from (select distinct p_partkey % 200 as g from {part} where p_partkey % 4 = 0) x""",
+from (select distinct p_partkey % 200 as g from {part}) x where g % 4 = 0""",
     "events": "select event_id, ts, user_id, event_type, value, props from {events}",
 }
 
@@ -140,12 +140,12 @@ from (select explode(sequence(cast(date_trunc('YEAR', min(l_shipdate)) as date),
   date_sub(cast(date_trunc('YEAR', max(l_shipdate)) + interval 1 year as date), 1))) as d from {lineitem})""",
     "market_source": _MARKET
     + f" lateral view inline({_spark_rows(_LEVELS, 'lv', 'lm')}) lv_rows as lv, lm"
-    + f" lateral view inline({_spark_rows(_PERIODS, 'pd', 'pm')}) pd_rows as pd, pm where l_partkey % 10 = 0",
+    + f" lateral view inline({_spark_rows(_PERIODS, 'pd', 'pm')}) pd_rows as pd, pm",
     "upc_map": """
 select r_name as region, cast(p_partkey as string) as market_upc, cast(p_partkey + d as string) as own_upc
 from (select p_partkey, d, explode(sequence(0, 4)) as rk
       from (select p_partkey, explode(case when p_partkey % 20 = 0 then array(0, 10) else array(0) end) as d
-            from {part} where p_partkey % 10 = 0)) x join {region} on rk = r_regionkey""",
+            from {part})) x join {region} on rk = r_regionkey""",
 }
 _DUCKDB = {
     **_COMMON,
@@ -154,12 +154,11 @@ select cast(d as date) as cal_dt, cast(isoyear(d) * 100 + week(d) as int) as hg_
 from (select unnest(generate_series(date_trunc('year', min(l_shipdate)),
   date_trunc('year', max(l_shipdate)) + interval 1 year - interval 1 day, interval 1 day)) as d from {lineitem}) x""",
     "market_source": _MARKET
-    + f" cross join {_duck_rows(_LEVELS, 'lv', 'lm')} l cross join {_duck_rows(_PERIODS, 'pd', 'pm')} p"
-    + " where l_partkey % 10 = 0",
+    + f" cross join {_duck_rows(_LEVELS, 'lv', 'lm')} l cross join {_duck_rows(_PERIODS, 'pd', 'pm')} p",
     "upc_map": """
 select r_name as region, cast(p_partkey as string) as market_upc, cast(p_partkey + d as string) as own_upc
 from {part} cross join {region} cross join (select 0 as d union all select 10) x
-where p_partkey % 10 = 0 and (d = 0 or p_partkey % 20 = 0)""",
+where d = 0 or p_partkey % 20 = 0""",
 }
 
 

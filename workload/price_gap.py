@@ -1,11 +1,14 @@
 """Price-gap dashboard queries: one per stage, each against the same stages in SQL."""
 
+import dataclasses
 import datetime as dt
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from aislemetrics.plans import price_gap as pg
+from aislemetrics.session import checkpoint_root
 from workload.registry import query
 
 AS_OF = dt.date(2001, 6, 15)
@@ -45,152 +48,155 @@ def plan(v, **options):
 
 
 # ---- the stages in SQL -----------------------------------------------------
+# Written from what a stage means, with DuckDB's own means: grouping sets for the national level,
+# ``arg_min`` for the modal pair, filtered sums for the pivots, counts taken from the UPC map.
 
 K = ", ".join(pg.ITEM_KEYS)
 G = ", ".join(pg.GROUP_KEYS)
 MKT = ", ".join(pg.MARKET_READ)
 
 
-def sums(names):
-    return ", ".join(f"sum({n}) as {n}" for n in names)
+def each(names, text="sum({0}) as {0}", **more):
+    return ", ".join(text.format(n, **more) for n in names)
 
 
-def modal(source, a, b):
-    part = (
-        "select * from (select week, {region} as region, group_code, {a}, {b}, rank() over (partition by week, {by}group_code "
-        "order by count(*) desc, {a} nulls first, {b} nulls first) as seq from {src} group by week, {by}group_code, {a}, {b}) x where seq = 1"
+def both_levels(source, keys, measures, label="NATIONAL", **clauses):
+    """Rows of every region and, as ``label``, of all regions together."""
+    return (
+        f"select if(grouping(region) = 1, '{label}', region) as region, {keys}, {measures} from {source} "
+        f"{clauses.get('where', '')} group by grouping sets ((region, {keys}), ({keys}))"
     )
-    national = part.format(region="'NATIONAL'", by="", a=a, b=b, src=source)
-    regional = part.format(region="region", by="region, ", a=a, b=b, src=source)
-    return f"select week, region, group_code, {a}, {b} from ({national} union all {regional}) y"
-
-
-PROMOTED = "(on_flyer = true or on_cpp = true or price_mechanic <> 'EDLP')"
 
 
-def group_part(region, by):
+def most_frequent(source, first, second):
+    """The commonest pair of a week and group; of equally common ones the smallest, missing values first."""
     return (
-        f"select promo_hg_yr_wk + 190000 as week, {region} as region, group_code_nbr as group_code, sum(total_units) as units, "
-        f"sum(total_sales) as sales, sum(case when {PROMOTED} then total_units end) as promo_units, "
-        f"sum(case when {PROMOTED} then total_sales end) as promo_sales, sum(base_units) as baseline_units, "
-        "sum(total_units - base_units) as incremental_units from group_metrics where promo_hg_yr_wk + 190000 between "
-        "(select week from p_weeks where seq = 52) and (select week from p_weeks where seq = 1) "
-        f"group by promo_hg_yr_wk, {by}group_code_nbr"
+        f"with levels as (select grouping(region) as whole, region, week, group_code, {first}, {second}, count(*) as n from {source} "
+        f"group by grouping sets ((region, week, group_code, {first}, {second}), (week, group_code, {first}, {second}))), "
+        f"best as (select whole, region, week, group_code, arg_min({{'f': {first}, 's': {second}}}, "
+        f"(-n, {first} is not null, coalesce({first}, 0), {second} is not null, coalesce({second}, 0))) as pair from levels group by all) "
+        f"select week, if(whole = 1, 'NATIONAL', region) as region, group_code, pair.f as {first}, pair.s as {second} from best"
     )
 
 
+def shelf(column):
+    return f"100 * round({column} / 100)"
+
+
 def implied(level, kind):
-    return (
-        f"({level}_{kind}sales_1w - HG_MART_{kind}sales_1w) / nullif({level}_{kind}units_1w - HG_MART_{kind}units_1w, 0)"
+    """Price that the other shops of a level must have had: their sales over their units."""
+    rest = "{0}_{1}{2}_1w - HG_MART_{1}{2}_1w"
+    return f"({rest.format(level, kind, 'sales')}) / nullif({rest.format(level, kind, 'units')}, 0)"
+
+
+def in_dollars(live_weight):
+    pairs = {
+        "own_live_dlr": ("live", "own_live"),
+        "own_reg_dlr": ("reg", "own_reg"),
+        "comp_live_dlr": ("live", live_weight),
+        "comp_reg_dlr": ("reg", "comp_reg"),
+    }
+    return ", ".join(
+        f"if(least(comp_{kind}, own_{kind}) > 0 and comp_{kind} is not null and own_{kind} is not null, total_mkt_units_52w * {price}, null) as {name}"
+        for name, (kind, price) in pairs.items()
     )
 
 
+PROMO_ROW = "(coalesce(on_flyer, false) or coalesce(on_cpp, false) or coalesce(price_mechanic <> 'EDLP', false))"
+
 STAGES = {
-    "p_start": f"select min(cal_dt) as start from calendar_dim where hg_yr_wk_nbr in (select hg_yr_wk_nbr from calendar_dim where cal_dt = date '{AS_OF}')",
-    "p_calendar": "select hg_yr_wk_nbr, min(cal_dt) as first_day, max(cal_dt) as last_day, row_number() over (order by hg_yr_wk_nbr - 52) as seq "
-    "from calendar_dim where cal_dt between (select start from p_start) - interval 365 day and (select start from p_start) + interval 110 day group by 1",
-    "p_window": "select min(hg_yr_wk_nbr) as first_week, max(hg_yr_wk_nbr) as last_week from p_calendar where seq between 1 and 53",
-    "p_groups": "select distinct item_nbr, old_nbr, hg_iv_id, var_long_desc from catalog",
-    "p_weeks": f"select week, row_number() over (order by week desc) as seq from (select distinct wm_yr_wk_nbr as week from weekly_sales where wm_yr_wk_nbr > {AFTER_WEEK}) x",
-    "p_items": "select a.wm_yr_wk_nbr as week, d.hg_region as region, a.item_nbr, sbu_nbr, dept_nbr, dept_category_nbr, sbu_desc, dept_desc, dept_category_desc, a.upc_nbr, "
-    "b.hg_iv_id as group_code, b.var_long_desc as group_desc, case when b.brand_type is null then 'NB' else b.brand_type end as brand_type, "
-    "sum(wkly_sales_amt) as own_sales, sum(wkly_qty) as own_units from weekly_sales a join (select distinct sbu_nbr, sbu_desc, dept_nbr, dept_desc, dept_category_nbr, "
-    "dept_category_desc, brand_type, item_nbr, hg_iv_id, var_long_desc from catalog) b on a.item_nbr = b.item_nbr "
-    "join (select max(week) - 200 as wk from p_weeks) c on a.wm_yr_wk_nbr >= c.wk "
-    "left join (select distinct store_nbr, hg_region from store_dim) d on a.store_nbr = d.store_nbr group by all",
-    "p_volume": f"select week, region, {K}, {sums(['own_sales', 'own_units'])} from p_items group by all",
-    "p_volume_levels": f"select distinct week, region, {K}, own_sales, own_units from p_volume union "
-    f"select week, 'NATIONAL' as region, {K}, {sums(['own_sales', 'own_units'])} from p_volume group by all",
-    "p_own": "select distinct wm_wk_nbr + 190000 as week, a.item_nbr, store_nbr, region_nm as region, round(live_price_amt / 100) * 100 as own_live, "
-    "round(defined_reg_price_amt / 100) * 100 as own_reg, b.hg_iv_id as group_code from store_price a left join (select distinct item_nbr, hg_iv_id from p_groups) b "
-    "on a.item_nbr = b.item_nbr where wm_wk_nbr + 190000 > (select week from p_weeks where seq = 52)",
-    "p_own_modal": modal("p_own", "own_reg", "own_live"),
-    "p_comp": "select distinct wm_week as week, hg_store_id as store_nbr, hg_region as region, upc_nbr, a.item_nbr, banner_name, "
-    "case when equalization_factor > 0 then round(comp_reg / 100) * 100 * equalization_factor else round(comp_reg / 100) * 100 end as comp_reg_eq, "
-    "case when equalization_factor > 0 then round(comp_live / 100) * 100 * equalization_factor else round(comp_live / 100) * 100 end as comp_live_eq, "
-    "b.hg_iv_id as group_code from instore a left join (select distinct old_nbr, hg_iv_id from p_groups) b on a.item_nbr = b.old_nbr "
-    "where wm_week > (select week from p_weeks where seq = 52)",
-    "p_low": "select week, store_nbr, region, upc_nbr, item_nbr, group_code, 'MKT_LOW' as banner_name, "
-    "min(case when comp_reg_eq is not null then comp_reg_eq else comp_live_eq end) as comp_reg, "
-    "min(case when comp_live_eq is not null then comp_live_eq else comp_reg_eq end) as comp_live from p_comp "
-    "where comp_reg_eq > 0.1 or comp_live_eq > 0.1 group by all",
-    "p_comp_modal": modal("p_low", "comp_reg", "comp_live"),
-    "p_clean": "select promo_yr_wk, region, market_description, period_description, "
-    "regexp_replace(replace(ltrim(replace(upc, '0', ' ')), ' ', '0'), 'BP[0-9]', '', 'g') as market_upc, "
-    + ", ".join(f"sum(try_cast({m} as double)) as {m}" for m in pg.MEASURES)
-    + " from market_source where "
-    + " and ".join(f"market_description not like '%{x}%'" for x in pg.LEFT_OUT_MARKETS)
-    + " and period_description is not null group by 1, 2, 3, 4, 5",
-    "p_mapped": "select a.*, b.own_upc from p_clean a left join upc_map b on upper(a.region) = upper(b.region) and a.market_upc = b.market_upc",
-    "p_dup": "select a.*, coalesce(c.n, 0) as own_upcs from p_mapped a left join (select region, market_upc, count(distinct own_upc) as n from p_mapped group by 1, 2) c "
-    "on upper(a.region) = upper(c.region) and a.market_upc = c.market_upc",
-    "p_split": "select promo_yr_wk, region, market_description, period_description, market_upc, own_upc, "
-    + ", ".join(f"case when own_upcs > 1 then {m} / own_upcs else {m} end as {m}" for m in pg.MEASURES)
-    + " from p_dup where sales > 0 or sales_ya > 0",
-    "p_levels": f"select promo_yr_wk, region, market_description, period_description, own_upc, {sums(pg.MEASURES)} from p_split group by 1, 2, 3, 4, 5 union "
-    f"select promo_yr_wk, 'NATIONAL' as region, market_description, period_description, own_upc, {sums(pg.MEASURES)} from p_split group by 1, 2, 3, 4, 5",
-    "p_by_level": "select promo_yr_wk, region, period_description, own_upc, "
+    "p_start": f"from calendar_dim c semi join (from calendar_dim where cal_dt = date '{AS_OF}') t using (hg_yr_wk_nbr) select min(c.cal_dt) as start",
+    "p_calendar": "with weeks as (select hg_yr_wk_nbr, min(cal_dt) as first_day, max(cal_dt) as last_day from calendar_dim, p_start "
+    "where date_diff('day', start, cal_dt) between -365 and 110 group by hg_yr_wk_nbr) "
+    "select weeks.*, (select count(*) from weeks w where w.hg_yr_wk_nbr <= weeks.hg_yr_wk_nbr) as seq from weeks",
+    "p_window": "select min(hg_yr_wk_nbr) filter (seq < 54) as first_week, max(hg_yr_wk_nbr) filter (seq < 54) as last_week from p_calendar",
+    "p_groups": "from catalog select item_nbr, old_nbr, hg_iv_id, var_long_desc group by all",
+    "p_weeks": f"select distinct wm_yr_wk_nbr as week, dense_rank() over (order by wm_yr_wk_nbr desc) as seq from weekly_sales where wm_yr_wk_nbr > {AFTER_WEEK}",
+    "p_bounds": "select max(week) as newest, max(week) - 200 as since, max(week) filter (seq = 52) as oldest from p_weeks",
+    "p_items": "with sold as (select wm_yr_wk_nbr as week, hg_region as region, item_nbr, upc_nbr, sum(wkly_sales_amt) as s, sum(wkly_qty) as q "
+    "from p_bounds, weekly_sales left join store_dim using (store_nbr) where wm_yr_wk_nbr >= since group by all), "
+    "tree as (from catalog select item_nbr, sbu_nbr, sbu_desc, dept_nbr, dept_desc, dept_category_nbr, dept_category_desc, "
+    "hg_iv_id as group_code, var_long_desc as group_desc, coalesce(brand_type, 'NB') as brand_type group by all) "
+    f"select week, region, item_nbr, sbu_nbr, dept_nbr, dept_category_nbr, {K}, sum(s) as own_sales, sum(q) as own_units from tree join sold using (item_nbr) group by all",
+    "p_volume": f"from p_items select week, region, {K}, {each(['own_sales', 'own_units'])} group by all",
+    "p_volume_levels": both_levels("p_volume", f"week, {K}", each(["own_sales", "own_units"])),
+    "p_own": "with code as (from p_groups select item_nbr, hg_iv_id as group_code group by all) "
+    f"select 190000 + wm_wk_nbr as week, item_nbr, store_nbr, region_nm as region, {shelf('live_price_amt')} as own_live, "
+    f"{shelf('defined_reg_price_amt')} as own_reg, group_code from p_bounds, store_price left join code using (item_nbr) "
+    "where 190000 + wm_wk_nbr > oldest group by all",
+    "p_own_modal": most_frequent("p_own", "own_reg", "own_live"),
+    "p_comp": "with code as (from p_groups select old_nbr as item_nbr, hg_iv_id as group_code group by all), "
+    "scaled as (select *, if(equalization_factor > 0, equalization_factor, 1) as factor from instore) "
+    "select wm_week as week, hg_store_id as store_nbr, hg_region as region, upc_nbr, item_nbr, banner_name, "
+    f"factor * {shelf('comp_reg')} as comp_reg_eq, factor * {shelf('comp_live')} as comp_live_eq, group_code "
+    "from p_bounds, scaled left join code using (item_nbr) where wm_week > oldest group by all",
+    "p_low": "from p_comp select week, store_nbr, region, upc_nbr, item_nbr, group_code, any_value('MKT_LOW') as banner_name, "
+    "min(coalesce(comp_reg_eq, comp_live_eq)) as comp_reg, min(coalesce(comp_live_eq, comp_reg_eq)) as comp_live "
+    "where greatest(comp_reg_eq, comp_live_eq) > 0.1 group by week, store_nbr, region, upc_nbr, item_nbr, group_code",
+    "p_comp_modal": most_frequent("p_low", "comp_reg", "comp_live"),
+    "p_clean": "from market_source select promo_yr_wk, region, market_description, period_description, "
+    "regexp_replace(ltrim(upc, '0'), 'BP[0-9]', '', 'g') as market_upc, "
+    + each(pg.MEASURES, "sum(try_cast({0} as double)) as {0}")
+    + f" where not regexp_matches(market_description, '{'|'.join(pg.LEFT_OUT_MARKETS)}') and period_description is not null group by all",
+    "p_key": "select upper(region) as area, market_upc, own_upc, count(distinct own_upc) over (partition by upper(region), market_upc) as shared from upc_map",
+    "p_dup": "select f.*, own_upc, coalesce(shared, 0) as own_upcs from p_clean f left join p_key k on k.area = upper(f.region) and k.market_upc = f.market_upc",
+    "p_mapped": "select * exclude (own_upcs) from p_dup",
+    "p_split": "from p_dup select * exclude (own_upcs) replace ("
+    + each(pg.MEASURES, "{0} / greatest(own_upcs, 1) as {0}")
+    + ") where greatest(sales, sales_ya) > 0",
+    "p_levels": both_levels("p_split", "promo_yr_wk, market_description, period_description, own_upc", each(pg.MEASURES)),
+    "p_by_level": "from p_levels select promo_yr_wk, region, period_description, own_upc, "
+    + ", ".join(each(pg.MEASURES, "sum({0}) filter (market_description like '{like}') as {level}_{0}", like=p, level=a) for a, p in pg.LEVELS.items())
+    + " group by all",
+    "p_by_period": "from p_levels select promo_yr_wk, region, own_upc, "
     + ", ".join(
-        f"sum(case when market_description like '{p}' then {m} end) as {level}_{m}" for level, p in pg.LEVELS.items() for m in pg.MEASURES
+        each(pg.MEASURES, "sum({0}) filter (market_description like '{like}' and period_description like '{span}') as {level}_{0}_{name}", like=p, level=a, span=q, name=b)
+        for b, q in pg.PERIODS.items()
+        for a, p in pg.LEVELS.items()
     )
-    + " from p_levels group by 1, 2, 3, 4",
-    "p_by_period": "select promo_yr_wk, region, own_upc, "
+    + " group by all",
+    "p_attached": f"with feed as (select 190000 + promo_yr_wk as week, upper(region) as area, own_upc::bigint as code, {MKT} from p_by_period) "
+    f"select v.week, region, {K}, {MKT}, own_sales::double as own_sales, own_units::double as own_units from p_volume_levels v "
+    "left join feed on (feed.week, area, code) = (v.week, upper(region), upc_nbr::bigint) where region is not null",
+    "p_rolled": f"from p_attached select week, region, {G}, {each([*pg.MARKET_READ, 'own_sales', 'own_units'])} group by all",
+    "p_priced": "with o as (select * exclude (region), upper(region) as area from p_own_modal), c as (select * exclude (region), upper(region) as area from p_comp_modal) "
+    "select distinct r.*, own_live, own_reg, comp_live, comp_reg from p_rolled r left join o on (o.week, o.area, o.group_code) = (r.week, upper(r.region), r.group_code) "
+    "left join c on (c.week, c.area, c.group_code) = (r.week, upper(r.region), r.group_code)",
+    "p_inferred": "from p_priced select * replace (greatest(coalesce(total_mkt_units_52w, 1), 1) as total_mkt_units_52w, "
     + ", ".join(
-        f"sum(case when period_description like '{p}' then {level}_{m} end) as {level}_{m}_{period}"
-        for period, p in pg.PERIODS.items()
-        for level in pg.LEVELS
-        for m in pg.MEASURES
+        # as a decimal, so that half a cent rounds up whatever its binary form
+        f"round(coalesce(nullif({c}, 0), {other})::decimal(30, 9), 2)::double as {c}"
+        for c, other in (("comp_live", implied("gdm", "promo_")), ("comp_reg", implied("total_mkt", "")))
     )
-    + " from p_by_level group by 1, 2, 3",
-    "p_attached": f"select week, a.region, {K}, {MKT}, cast(own_sales as double) as own_sales, cast(own_units as double) as own_units from p_volume_levels a "
-    "left join p_by_period b on a.week = b.promo_yr_wk + 190000 and upper(a.region) = upper(b.region) "
-    "and cast(a.upc_nbr as bigint) = cast(b.own_upc as bigint) where a.region is not null",
-    "p_rolled": f"select week, region, {G}, {sums([*pg.MARKET_READ, 'own_sales', 'own_units'])} from p_attached group by all",
-    "p_priced": "select distinct a.*, b.own_live, b.own_reg, c.comp_live, c.comp_reg from p_rolled a "
-    "left join p_own_modal b on a.week = b.week and upper(a.region) = upper(b.region) and a.group_code = b.group_code "
-    "left join p_comp_modal c on a.week = c.week and upper(a.region) = upper(c.region) and a.group_code = c.group_code",
-    "p_inferred": "select distinct * replace (case when total_mkt_units_52w is null or total_mkt_units_52w < 1 then 1 else total_mkt_units_52w end as total_mkt_units_52w, "
-    f"round(case when comp_live is null or comp_live = 0 then {implied('gdm', 'promo_')} else comp_live end, 2) as comp_live, "
-    f"round(case when comp_reg is null or comp_reg = 0 then {implied('total_mkt', '')} else comp_reg end, 2) as comp_reg) from p_priced",
-    "p_repaired": "select distinct * replace (case when (comp_live is null or comp_live < 0) and comp_reg > 0 then comp_reg else comp_live end as comp_live, "
-    "case when comp_reg > 0 then comp_reg end as comp_reg) from p_inferred",
-    "p_weighted": "select distinct * replace (case when comp_live is null then comp_reg end as comp_live), "
-    "case when comp_live > 0 and own_live > 0 then total_mkt_units_52w * own_live end as own_live_dlr, "
-    "case when comp_reg > 0 and own_reg > 0 then total_mkt_units_52w * own_reg end as own_reg_dlr, "
-    "case when comp_live > 0 and own_live > 0 then total_mkt_units_52w * comp_reg end as comp_live_dlr, "
-    "case when comp_reg > 0 and own_reg > 0 then total_mkt_units_52w * comp_reg end as comp_reg_dlr from p_repaired",
-    "p_weighted_fixed": "select distinct * replace (coalesce(comp_live, comp_reg) as comp_live), "
-    "case when comp_live > 0 and own_live > 0 then total_mkt_units_52w * own_live end as own_live_dlr, "
-    "case when comp_reg > 0 and own_reg > 0 then total_mkt_units_52w * own_reg end as own_reg_dlr, "
-    "case when comp_live > 0 and own_live > 0 then total_mkt_units_52w * comp_live end as comp_live_dlr, "
-    "case when comp_reg > 0 and own_reg > 0 then total_mkt_units_52w * comp_reg end as comp_reg_dlr from p_repaired",
-    "p_group_sales": f"{group_part('region', 'region, ')} union {group_part(chr(39) + 'national' + chr(39), '')}",
-    "p_merged": "select distinct a.* replace (coalesce(b.sales, a.own_sales) as own_sales, coalesce(b.units, a.own_units) as own_units), "
-    "'' as cat_sales, '' as edlp, b.promo_units, b.promo_sales, b.baseline_units, b.incremental_units from p_weighted a "
-    "left join p_group_sales b on a.week = b.week and a.group_code = b.group_code and upper(a.region) = upper(b.region)",
+    + ")",
+    "p_repaired": "from p_inferred select * replace (if(comp_reg > 0 and coalesce(comp_live, -1) < 0, comp_reg, comp_live) as comp_live, "
+    "if(comp_reg > 0, comp_reg, null) as comp_reg)",
+    "p_weighted": f"from p_repaired select * replace (if(comp_live is null, comp_reg, null) as comp_live), {in_dollars('comp_reg')}",
+    "p_weighted_fixed": f"from p_repaired select * replace (coalesce(comp_live, comp_reg) as comp_live), {in_dollars('comp_live')}",
+    "p_group_sales": both_levels(
+        "group_metrics, p_bounds",
+        "week, group_code",
+        f"sum(total_units) as units, sum(total_sales) as sales, sum(total_units) filter {PROMO_ROW} as promo_units, sum(total_sales) filter {PROMO_ROW} as promo_sales, "
+        "sum(base_units) as baseline_units, sum(total_units) - sum(base_units) as incremental_units",
+        label="national",
+    ),
+    "p_merged": "select w.* replace (coalesce(g.sales, w.own_sales) as own_sales, coalesce(g.units, w.own_units) as own_units), "
+    "'' as cat_sales, '' as edlp, promo_units, promo_sales, baseline_units, incremental_units from p_weighted w "
+    "left join p_group_sales g on (g.week, g.group_code, upper(g.region)) = (w.week, w.group_code, upper(w.region))",
+    "p_dated": "select m.*, (a.group_code is not null)::int as edlp_flag, '1' || lpad((week % 10000)::varchar, 4, '0') as week_text, "
+    f"coalesce(effective_date < date '{AS_OF}', false) as in_force, week between first_week and last_week as inside "
+    "from p_window, p_merged m left join edlp_actioned a on a.group_code = m.group_code",
+    "p_view": "from p_dated select {columns} where in_force or (edlp_flag = 0 and inside)",
+    "p_view_strict": "from p_dated select {columns} where inside and (in_force or edlp_flag = 0)",
+    "p_shown": f"from p_view select distinct * where \"hg Week\" >= '{SHOWN[0]}' and \"hg Week\" <= '{SHOWN[1]}'",
+    "p_filters": 'from p_shown select "Region", "SBU", "Department", "Category", "Group Code", "Group Code Description", "Brand Type", "EDLP", '
+    "if(\"EDLP\" = 1, 'YES', 'NO') as \"EDLP_Actioned\" group by all",
 }
-_SHOW = {
-    **{c: c for c in pg.DISPLAY},
-    "week_text": "concat('1', substring(cast(week as varchar), 3, 2), substring(cast(week as varchar), 5, 2))",
-    "edlp_flag": "case when b.group_code is not null then 1 else 0 end",
-    "group_code": "a.group_code",
-}
-for _name, _where in (
-    ("p_view", "b.effective_date < date '{d}' or b.group_code is null and {w}"),
-    ("p_view_strict", "(b.effective_date < date '{d}' or b.group_code is null) and {w}"),
-):
-    STAGES[_name] = (
-        "select " + ", ".join(f'{_SHOW[c]} as "{n}"' for c, n in pg.DISPLAY.items())
-        + " from p_merged a left join edlp_actioned b on cast(a.group_code as varchar) = cast(b.group_code as varchar) where "
-        + _where.format(
-            d=AS_OF,
-            w="cast(week as bigint) between (select first_week from p_window) and (select last_week from p_window)",
-        )
-    )
-STAGES["p_shown"] = f"select distinct * from p_view where \"hg Week\" between '{SHOWN[0]}' and '{SHOWN[1]}'"
-STAGES["p_filters"] = (
-    'select distinct "Region", "SBU", "Department", "Category", "Group Code", "Group Code Description", "Brand Type", "EDLP", '
-    "case when \"EDLP\" = 1 then 'YES' else 'NO' end as \"EDLP_Actioned\" from p_shown"
+for _name in ("p_view", "p_view_strict"):
+    STAGES[_name] = STAGES[_name].format(columns=", ".join(f'{c} as "{n}"' for c, n in pg.DISPLAY.items()))
+STAGES["p_group_sales"] = STAGES["p_group_sales"].replace(
+    "from group_metrics, p_bounds",
+    "from (select *, 190000 + promo_hg_yr_wk as week, group_code_nbr as group_code from group_metrics, p_bounds where 190000 + promo_hg_yr_wk between oldest and newest)",
 )
 
 
@@ -267,6 +273,12 @@ query(
     f"select promo_yr_wk, region, own_upc, {MKT} from ({stage_sql('p_by_period')})",
     READ,
 )(lambda v: plan(v).pivoted)
+query(
+    "gap_market_read",
+    "K19 K20 K21 D8 D9",
+    f"select promo_yr_wk, region, own_upc, {MKT} from ({stage_sql('p_by_period')}) where coalesce({MKT}) is not null",
+    READ,
+)(lambda v: plan(v).market_read)
 query("gap_market_shared", "K16 K17", stage_sql("p_dup"), MARKET)(lambda v: plan(v).shared)
 stage("attach_market", "K22 C6 B2", "p_attached", lambda v: plan(v).attached, f"{READ} {OWN}")
 stage("roll_up_upcs", "K23", "p_rolled", lambda v: plan(v).rolled, f"{READ} {OWN}")
@@ -284,6 +296,26 @@ stage(
 stage("group_sales", "K28 D6 D12 B31", "p_group_sales", lambda v: plan(v).group_sales, f"units,sales:2 {PROMO}")
 stage("attach_group_sales", "K29 C8 B28", "p_merged", lambda v: plan(v).merged, f"{READ} {OWN} {PRICES} {DOLLARS} {PROMO}")
 stage("actioned_view", "K31 C9 B22 B27 B29", "p_view", lambda v: plan(v).view, SHOWN_ROUNDS)
+
+
+def from_csv(v):
+    """The view over an actioned list that was written as CSV and loaded with its published headers."""
+    path = f"{checkpoint_root(v.spark)}/actioned-{uuid.uuid4().hex}"
+    listed = v.edlp_actioned.select(F.col("group_code").alias("Group Code"), F.col("effective_date").alias("Effective date"))
+    listed.write.option("header", True).csv(path)
+    own = dataclasses.replace(inputs(v), actioned=pg.actioned_list(v.spark, path))
+    return pg.PriceGapPlan(own, AS_OF, AFTER_WEEK, *SHOWN).view
+
+
+def published(v):
+    """The display table as the publishing step leaves it in the catalog."""
+    mark = uuid.uuid4().hex
+    path = f"{checkpoint_root(v.spark)}/published-{mark}"
+    return plan(v).publish(f"gap_shown_{mark}", f"gap_filters_{mark}", path)[0]
+
+
+stage("actioned_view_csv", "K30 K31", "p_view", from_csv, SHOWN_ROUNDS)
+stage("published", "K32 K33 A6", "p_shown", published, SHOWN_ROUNDS)
 stage("actioned_view_strict", "K31", "p_view_strict", lambda v: plan(v, strict_week=True).view, SHOWN_ROUNDS)
 stage("display_range", "K32", "p_shown", lambda v: plan(v).shown, SHOWN_ROUNDS)
 stage("filter_list", "K33 D13 F1", "p_filters", lambda v: plan(v).filters)
