@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetrics.session import checkpoint_root, materialize
+from aislemetrics.session import materialize, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -41,28 +38,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-_folders: list[tuple[SparkSession, str]] = []
-
-
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder: compact, and columns can be read alone.
-
-    The folder goes when the program ends; what a killed program leaves lies under ``tables-``.
-    """
-    spark = df.sparkSession
-    folder = f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
-    if not _folders:
-        atexit.register(_clear)
-    _folders.append((spark, folder))
+    """``df`` as Parquet in the shared checkpoint folder: compact, and columns can be read alone."""
+    folder = scratch_path(df.sparkSession, "tables")
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def _clear() -> None:
-    with contextlib.suppress(Exception):  # the session may be gone already
-        for spark, folder in _folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

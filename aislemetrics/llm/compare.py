@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 from aislemetrics.llm.queries import ORACLE_SQL, QUERIES
@@ -12,7 +13,7 @@ from aislemetrics.session import local_session
 def main(argv: list[str]) -> int:
     from workload.compare import connect, rows_of
 
-    spark, bad = local_session("compare"), 0
+    spark, bad = local_session("compare", scratch=tempfile.mkdtemp(prefix="compare-")), 0
     for name in [n for n in QUERIES if not argv[1:] or any(a in n for a in argv[1:])]:
         start = time.time()
         df = QUERIES[name](spark, argv[0])
