@@ -68,15 +68,20 @@ def _scaled(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scaler.fit(vectors).transform(vectors)
 
 
-def store_clusters(features: DataFrame, store: str = "store_nbr", seed: int = 42, min_stores: int = 10) -> DataFrame:
-    """Features with a ``cluster`` id; k = min(5, stores // 3). Empty with ``min_stores`` or fewer."""
+def store_clusters(
+    features: DataFrame, store: str = "store_nbr", seed: int = 42, min_stores: int = 10, clusters: int | None = None
+) -> DataFrame:
+    """Features with a ``cluster`` id; ``clusters`` of them, or min(5, stores // 3).
+
+    Empty with ``min_stores`` or fewer (0 switches this off).
+    """
     features = materialize(features)  # one row per store; every k-means pass reads the same rows
     stores = features.count()
     if stores <= min_stores:
         return features.withColumn("cluster", F.lit(None).cast("int")).limit(0)
     columns = [c for c in features.columns if c != store]
     data = _scaled(features, columns)
-    model = KMeans(k=min(5, stores // 3), seed=seed, featuresCol="_scaled", predictionCol="cluster").fit(data)
+    model = KMeans(k=clusters or max(2, min(5, stores // 3)), seed=seed, featuresCol="_scaled", predictionCol="cluster").fit(data)
     return model.transform(data).select(*features.columns, "cluster")
 
 

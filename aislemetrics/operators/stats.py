@@ -115,15 +115,15 @@ def strong_correlations(df: DataFrame, columns: Sequence[str], threshold: float
     return matrix.where((index[F.col("column_a")] < index[F.col("column_b")]) & (F.abs("r") > threshold))
 
 
-def pca_explained(df: DataFrame, columns: Sequence[str], min_rows: int = 50) -> DataFrame:
+def pca_explained(df: DataFrame, columns: Sequence[str], min_rows: int = 50, min_columns: int = 3) -> DataFrame:
     """Explained and cumulative variance share of the components of standardised columns.
 
-    Empty with fewer than three columns or at most ``min_rows`` complete rows. The scaler and the
+    Empty with fewer than ``min_columns`` columns or at most ``min_rows`` complete rows. The scaler and the
     component fit aggregate a columns x columns matrix; only its eigenvalues reach the driver.
     """
     schema = "component int, explained double, cumulative double"
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    if len(columns) < 3 or len(data.select(columns[0]).take(min_rows + 1)) <= min_rows:
+    if len(columns) < min_columns or len(data.select(columns[0]).take(min_rows + 1)) <= min_rows:
         return df.sparkSession.createDataFrame([], schema)
     vectors = VectorAssembler(inputCols=list(columns), outputCol="raw").transform(data).select("raw")
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(vectors).transform(vectors)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(app: str = "aislemetrics", cpus: str | int = "*", memory: str = "8g") -> SparkSession:
-    """Single-machine session for tests and the benchmark."""
+def local_session(
+    app: str = "aislemetrics", cpus: str | int = "*", memory: str = "8g", scratch: str | None = None
+) -> SparkSession:
+    """Single-machine session for tests and the benchmark; ``scratch`` becomes its checkpoint folder."""
     parallel = os.cpu_count() if str(cpus) == "*" else int(cpus)
+    if scratch:
+        SparkSession.builder.config("spark.checkpoint.dir", scratch)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -30,18 +36,35 @@ def local_session(app: str = "aislemetrics", cpus: str | int = "*", memory: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only on a local master."""
+    """The session's checkpoint folder, which all executors must share. Raises if none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="aislemetrics-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the checkpoint folder; what is written there goes when the program ends."""
+    path = f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_clear_scratch)
+    _scratch.append((spark, path))
+    return path
+
+
+def _clear_scratch() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        for spark, path in _scratch:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder, so that every consumer sees the same rows.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -75,12 +75,19 @@ def preview(df: DataFrame, key: str | Sequence[str], n: int = 5) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def chart_fraction(df: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:
-    """Seeded row sample for charts."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def _drawn(key: str | Sequence[str], seed: int) -> Column:
+    keys = [key] if isinstance(key, str) else list(key)
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
+def chart_fraction(df: DataFrame, key: str | Sequence[str], fraction: float = 0.1, seed: int = 42) -> DataFrame:
+    """The rows whose key hash is in the first ``fraction`` of all hashes: the same whatever the partitioning.
+
+    ``key`` should be unique, or rows that share it are drawn together.
+    """
+    return df.where(F.substring(_drawn(key, seed), 1, 8) < f"{min(int(fraction * 2**32), 2**32 - 1):08x}")
 
 
 def chart_rows(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in hash order of the key: the same rows whatever the partitioning."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """``n`` rows in hash order of a unique key: the same rows whatever the partitioning."""
+    return df.orderBy(_drawn(key, seed)).limit(n)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import coerce_numeric
-from ..session import checkpoint_root
+from ..session import scratch_path
 
 
 #: Time of the row that ends a finite stream.
@@ -74,7 +73,7 @@ def session_totals(
 
 def run_available(stream: DataFrame) -> DataFrame:
     """Process all data present in append mode (exactly-once file sink) and read the result back."""
-    root = f"{checkpoint_root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    root = scratch_path(stream.sparkSession, "stream")
     return _appended(stream, root)
 
 
@@ -93,7 +92,7 @@ def run_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], start
     own window never closes. ``start``: name of the window's first column.
     """
     spark = source.sparkSession
-    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     flush = f"{root}/flush"
     blank = spark.createDataFrame([], source.schema)
     blank.coalesce(1).write.parquet(flush)

@@ -12,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from aislemetrics.session import local_session
@@ -36,7 +37,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = list(QUERIES) if os.environ.get("BENCH_ALL") == "1" else HEADLINE
-    spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"), memory="16g")
+    spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"), memory="16g", scratch=tempfile.mkdtemp(prefix="bench-"))
 
     def once(name: str) -> float:
         start = time.perf_counter()

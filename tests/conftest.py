@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     warehouse = tmp_path_factory.mktemp("warehouse")
     SparkSession.builder.config("spark.sql.warehouse.dir", str(warehouse))
-    session = local_session("tests", 8)
+    session = local_session("tests", 8, scratch=str(tmp_path_factory.mktemp("scratch")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -6,6 +6,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -61,7 +62,7 @@ def check(spark, con, folder, name) -> str:
 
 def main(argv):
     folder = argv[0] if argv else "/root/testdata/sf0.01"
-    spark, con = local_session("compare"), connect(folder)
+    spark, con = local_session("compare", scratch=tempfile.mkdtemp(prefix="compare-")), connect(folder)
     names = [n for n in QUERIES if not argv[1:] or any(a in n for a in argv[1:])]
     bad = 0
     for name in names:

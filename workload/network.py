@@ -1,5 +1,7 @@
 """Store similarity and clustering queries."""
 
+from pyspark.sql import functions as F
+
 from aislemetrics.operators import cluster, network, prepare
 from workload.registry import query
 
@@ -58,9 +60,9 @@ query(
 query(
     "similar_pairs_strong",
     "J133",
-    f"select * from {zero_sql()} where store_a < store_b and r > 0.7",
+    f"select * from {zero_sql()} where store_a < store_b and r > 0.12",
     "r:8",
-)(lambda v: network.similar_pairs(v.weekly_sales, *SALES))
+)(lambda v: network.similar_pairs(v.weekly_sales, *SALES, threshold=0.12))
 query(
     "influence_scores",
     "J134",
@@ -97,6 +99,21 @@ query(
     "round(avg(sales_to_inventory_ratio), 3) as avg_ratio from sales_m group by 1",
     "avg_sales,std_sales,total_sales,avg_units,total_units,avg_inventory,std_inventory,avg_ratio:3",
 )(sales)
+query(
+    "store_cluster_totals",
+    "J136",
+    "select count(*) as stores, count(*) as ids, count(*) as assigned, least(5, count(*) // 3) as clusters from (select distinct store_nbr from weekly_sales) having count(*) > 10",
+    "clusters:i",
+)(
+    lambda v: cluster.store_clusters(sales(v))
+    .agg(
+        F.count("*").alias("stores"),
+        F.count_distinct("store_nbr").alias("ids"),
+        F.count("cluster").alias("assigned"),
+        F.count_distinct("cluster").alias("clusters"),
+    )
+    .where("stores > 0")
+)
 query("store_clusters_by_sales", "J136")(lambda v: cluster.store_clusters(sales(v)))
 query("store_clusters_by_price", "J136")(lambda v: cluster.store_clusters(prices(v)))
 query("cluster_summary", "J136")(

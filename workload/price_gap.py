@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from aislemetrics.plans import price_gap as pg
-from aislemetrics.session import checkpoint_root
+from aislemetrics.session import scratch_path
 from workload.registry import query
 
 AS_OF = dt.date(2001, 6, 15)
@@ -300,7 +300,7 @@ stage("actioned_view", "K31 C9 B22 B27 B29", "p_view", lambda v: plan(v).view, S
 
 def from_csv(v):
     """The view over an actioned list that was written as CSV and loaded with its published headers."""
-    path = f"{checkpoint_root(v.spark)}/actioned-{uuid.uuid4().hex}"
+    path = scratch_path(v.spark, "actioned")
     listed = v.edlp_actioned.select(F.col("group_code").alias("Group Code"), F.col("effective_date").alias("Effective date"))
     listed.write.option("header", True).csv(path)
     own = dataclasses.replace(inputs(v), actioned=pg.actioned_list(v.spark, path))
@@ -310,7 +310,7 @@ def from_csv(v):
 def published(v):
     """The display table as the publishing step leaves it in the catalog."""
     mark = uuid.uuid4().hex
-    path = f"{checkpoint_root(v.spark)}/published-{mark}"
+    path = scratch_path(v.spark, "published")
     return plan(v).publish(f"gap_shown_{mark}", f"gap_filters_{mark}", path)[0]
 
 

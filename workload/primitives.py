@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aislemetrics.functions import columns as cols
 from aislemetrics.operators import prepare
-from aislemetrics.session import checkpoint_root
+from aislemetrics.session import scratch_path
 from aislemetrics.sources import files
 from workload.registry import query
 
@@ -14,7 +14,7 @@ WANTED = ["hg_store_id", "wm_week", "wm_city", "item_nbr", "base_unit_retail_amt
 
 
 def scratch(v):
-    return f"{checkpoint_root(v.spark)}/files-{uuid.uuid4().hex}"
+    return scratch_path(v.spark, "files")
 
 
 def delimited(v, sep, infer=False):
@@ -79,8 +79,12 @@ query(
     "base_unit_retail_amt,comp_reg:7",
 )(lambda v: files.keep_columns(v.instore, WANTED))
 query("summary_sink", "A8", "select count(*) as records, sum(wkly_qty) as units from weekly_sales", "units:2")(summary)
-query("chart_rows", "A9")(lambda v: files.chart_rows(v.weekly_sales, ["store_nbr", "item_nbr", "wm_yr_wk_nbr"], 500))
-query("chart_fraction", "A9")(lambda v: files.chart_fraction(v.store_price, 0.1, 42))
+query("chart_rows", "A9", "select item_nbr, brand_name from catalog order by md5('42|' || item_nbr) limit 50")(
+    lambda v: files.chart_rows(v.catalog, "item_nbr", 50).select("item_nbr", "brand_name")
+)
+query("chart_fraction", "A9", "select event_id, value from events where substr(md5('42|' || event_id), 1, 8) < '19999999'", "value:7")(
+    lambda v: files.chart_fraction(v.events, "event_id", 0.1).select("event_id", "value")
+)
 query("preview", "A11", "select item_nbr, brand_name, cost from catalog order by item_nbr limit 5", "cost:4")(
     lambda v: files.preview(v.catalog.select("item_nbr", "brand_name", "cost"), "item_nbr", 5)
 )

@@ -123,4 +123,12 @@ query("strong_correlations_0_5", "J124", strong_sql(INSTORE, "instore", 0.5, Fal
 query("strong_correlations_0_7", "J124", strong_sql(PRICES, "price_m", 0.7, True), "r:8")(
     lambda v: stats.strong_correlations(m(v), PRICES, 0.7, complete=True)
 )
+query(
+    "pca_explained_pair",
+    "J126",
+    # two standardised columns have the components (1 + |r|) / 2 and (1 - |r|) / 2
+    "with c as (select abs(corr(base_unit_retail_amt, comp_live)) as r from instore where base_unit_retail_amt is not null and comp_live is not null) "
+    "select 1 as component, (1 + r) / 2 as explained, (1 + r) / 2 as cumulative from c union all select 2, (1 - r) / 2, 1.0 from c",
+    "explained,cumulative:8",
+)(lambda v: stats.pca_explained(v.instore, ["base_unit_retail_amt", "comp_live"], min_columns=2))
 query("pca_explained", "J126")(lambda v: stats.pca_explained(v.instore, INSTORE))

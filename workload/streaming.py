@@ -1,10 +1,8 @@
 """Stream queries: each runs a stream over the whole event table and is checked as a batch."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from aislemetrics.session import checkpoint_root
+from aislemetrics.session import scratch_path
 from aislemetrics.streaming import events
 from workload.registry import query
 
@@ -25,7 +23,7 @@ def delayed(v):
 
     Four files at a time are written in the order of arrival; each micro-batch takes four.
     """
-    folder = f"{checkpoint_root(v.spark)}/arrivals-{uuid.uuid4().hex}"
+    folder = scratch_path(v.spark, "arrivals")
     rows = v.spark.read.schema(SCHEMA).parquet(f"{v.folder}/events.parquet")
     arrives = F.col("ts") + F.expr("make_interval(0, 0, 0, if(event_id % 10 = 0, cast(event_id % 3 as int), 0))")
     seconds = arrives.cast("double")

@@ -43,6 +43,12 @@ query("price_trend_by_store", "J110", f"select store_nbr, {_TREND} from {BY_STOR
 query("trend_statistics", "J111", f"select {_TREND}, regr_r2(value, pos) as r2 from {DEMAND} having count(value) >= 12", "slope,intercept:5 r2:8")(
     lambda v: ts.trend_test(demand(v)).select("weeks", "slope", "intercept", "r2")
 )
+query(
+    "trend_t",
+    "J111",
+    f"select weeks, slope, r2, sign(slope) * sqrt(r2 * (weeks - 2) / greatest(1 - r2, 0)) as t from (select {_TREND}, regr_r2(value, pos) as r2 from {DEMAND} having count(value) >= 12)",
+    "slope:5 r2:8 t:6",
+)(lambda v: ts.trend_test(demand(v)).select("weeks", "slope", "r2", "t"))
 query("trend_test", "J111 J125")(lambda v: ts.trend_test(demand(v)))
 _PATTERN = f"(select cast({WEEK} % 52 as int) as cycle_week, avg(value) as value from {PRICE} where n >= 52 group by 1)"
 query("seasonal_pattern", "J112 B20", f"select * from {_PATTERN}", "value:7")(lambda v: ts.seasonal_pattern(price(v), WEEK))
@@ -123,11 +129,43 @@ query(
     _ROLL.format(k="store_nbr, ", w=WEEK, s=BY_STORE, p="partition by store_nbr"),
     "value,rolling,trend_line:6 pos:i",
 )(lambda v: ts.rolling_mean(price_by_store(v), WEEK, ["store_nbr"]))
-query("peaks_troughs", "J118")(lambda v: ts.peaks_troughs(price(v), WEEK))
-query("peaks_troughs_by_store", "J118")(
+
+
+def turns_sql(source, key="", above_mean=False):
+    """Local extremes in order of height, taken one by one if far enough from those taken before."""
+    lead = f"{key}, " if key else ""
+    on = f"w.{key} = x.{key} and " if key else ""
+    level = "and signed >= mean" if above_mean else ""
+    return f"""
+with recursive both_kinds as (
+  select {lead}{WEEK}, pos, n, value, kind, if(kind = 'peak', value, -value) as signed from {source}, (select unnest(['peak', 'trough']) as kind)),
+beside as (
+  select *, lag(signed) over o as before, lead(signed) over o as after, avg(signed) over (partition by {lead}kind) as mean
+  from both_kinds window o as (partition by {lead}kind order by pos)),
+ranked as (
+  select *, row_number() over (partition by {lead}kind order by signed desc, pos desc) as r from beside
+  where n >= 12 and signed > before and signed > after {level}),
+walk as (
+  select distinct {lead}kind, 0::bigint as r, []::bigint[] as kept from ranked
+  union all
+  select {"w." + key + ", " if key else ""}w.kind, x.r, if(len(list_filter(kept, lambda k: abs(k - x.pos) < 4)) = 0, list_append(kept, x.pos), kept)
+  from walk w join ranked x on {on}w.kind = x.kind and x.r = w.r + 1),
+taken as (select {lead}kind, unnest(places) as pos from (select {lead}kind, arg_max(kept, r) as places from walk group by all))
+select {lead}{WEEK}, pos, value, kind from taken join ranked using ({lead}kind, pos)"""
+
+
+query("peaks_troughs", "J118", turns_sql(PRICE), "value:7 pos:i")(lambda v: ts.peaks_troughs(price(v), WEEK))
+query("peaks_troughs_by_store", "J118", turns_sql(BY_STORE, "store_nbr", True), "value:7 pos:i")(
     lambda v: ts.peaks_troughs(price_by_store(v), WEEK, ["store_nbr"], above_mean=True)
 )
-query("cycle_length", "J118")(lambda v: ts.cycle_length(ts.peaks_troughs(price(v), WEEK)))
+query(
+    "cycle_length",
+    "J118",
+    "select count(*) filter (kind = 'peak') as peaks, count(*) filter (kind = 'trough') as troughs, "
+    "(max(pos) filter (kind = 'peak') - min(pos) filter (kind = 'peak')) / nullif(count(*) filter (kind = 'peak') - 1, 0) as avg_cycle "
+    f"from ({turns_sql(PRICE)})",
+    "avg_cycle:8",
+)(lambda v: ts.cycle_length(ts.peaks_troughs(price(v), WEEK)))
 
 
 def lag_sql(key=""):
