@@ -62,17 +62,6 @@ def describe(df: DataFrame, columns: Sequence[str], with_quartiles: bool = True)
     return stats.join(quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"]), "column")
 
 
-def modal_row(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Most frequent combination of ``values`` per key; on a tie the smallest, NULL first.
-
-    Counting, then one ``min`` over (-count, values): both combine on the map side, so a hot
-    key needs no sort of its combinations.
-    """
-    counted = df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("_n"))
-    best = counted.groupBy(*keys).agg(F.min(F.struct(-F.col("_n"), *values)).alias("_best"))
-    return best.select(*keys, *[F.col("_best")[v].alias(v) for v in values])
-
-
 def numbers_by(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], medians: dict[str, str] | None = None) -> DataFrame:
     """Aggregate per key (NULL keys dropped); ``medians`` maps output names to columns."""
     df = has_keys(df, *keys)

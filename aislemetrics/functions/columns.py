@@ -61,11 +61,6 @@ def bins(value: Column, edges: Sequence, labels: Sequence[str]) -> Column:
     return chosen
 
 
-def bin_order(label: Column, labels: Sequence[str]) -> Column:
-    """Position of a bin label, so that text labels sort in bin order."""
-    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in labels]), label), F.lit(0)).cast("int")
-
-
 def is_value(c: Column, value) -> Column:
     """Equality that is False, not NULL, for a missing value."""
     return F.coalesce(c == F.lit(value), F.lit(False))
@@ -81,11 +76,6 @@ def rate(condition: Column) -> Column:
 WEEK_SHIFT = 190000  # 1YYWW + 190000 = 20YYWW
 
 
-def iso_week_code(day: Column) -> Column:
-    """YYYYWW of the ISO week that holds ``day``."""
-    return (F.extract(F.lit("YEAROFWEEK"), day) * 100 + F.weekofyear(day)).cast("int")
-
-
 def week_year(code: Column) -> Column:
     return F.floor(code / 100).cast("int")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislemetrics.functions import columns as cols
-from aislemetrics.functions.aggregates import correlation, describe, key_of_max, modal_row, variation
+from aislemetrics.functions.aggregates import correlation, describe, key_of_max, variation
 from aislemetrics.functions.pvalues import f_pvalue, incomplete_beta, t_pvalue
 from aislemetrics.functions.running import cumulative_share, quantiles, running_totals
 
@@ -107,11 +107,6 @@ def test_aggregates_on_odd_groups(spark):
     assert one(tie.agg(key_of_max("g", "y").alias("k")))["k"] == "a"
 
 
-def test_modal_row_ties_take_the_smallest_null_first(spark):
-    df = spark.createDataFrame([(1, 2.0), (1, None), (1, 3.0), (2, 5.0), (2, 5.0), (2, 1.0)], "k int, v double")
-    assert {r["k"]: r["v"] for r in modal_row(df, ["k"], ["v"]).collect()} == {1: None, 2: 5.0}
-
-
 def test_describe_counts_values_only(spark):
     row = one(describe(spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double"), ["x"]))
     assert (row["n"], row["mean"], row["q50"]) == (2, 2.0, 2.0)

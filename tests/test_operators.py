@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from aislemetrics.functions import columns as cols
 from aislemetrics.operators import catalog, cluster, competitive, network, quality, sales, stats
 from aislemetrics.operators import timeseries as ts
 from aislemetrics.plans import price_gap as pg
@@ -270,3 +271,63 @@ def test_late_rows_are_dropped(spark, tmp_path):
     out = events.run_available(events.windowed_totals(stream)).collect()
     totals = {r["window_start"].hour: r["total"] for r in out}
     assert totals[0] == 1.0 and totals[5] == 2.0 and 9 not in totals
+
+
+def _arrivals(spark, folder, parts):
+    for n, rows in enumerate(parts):
+        frame = pd.DataFrame(rows, columns=["ts", "event_type", "value"])
+        frame["ts"] = pd.to_datetime(frame["ts"]).astype("datetime64[us]")
+        spark.createDataFrame(frame).coalesce(1).write.parquet(str(folder / f"b{n}"))
+    return events.ingest(spark, str(folder / "b*"), "ts timestamp, event_type string, value double", files_per_batch=1)
+
+
+def test_open_windows_are_closed_at_the_end(spark, tmp_path):
+    stream = _arrivals(spark, tmp_path, [[("2024-01-01 00:10", "v", 1.0)], [("2024-01-01 00:20", "v", 2.0)], [("2024-01-01 09:00", "v", 4.0)]])
+    out = events.run_closed(stream, events.windowed_totals, "window_start").collect()
+    assert {r["window_start"].hour: r["total"] for r in out} == {0: 3.0, 9: 4.0}
+
+
+def test_state_rows_fall_when_windows_close(spark, tmp_path):
+    parts = [[(f"2024-01-0{d} {h:02d}:30", k, 1.0) for h in range(24) for k in "ab"] for d in (1, 2, 3)]
+    parts.append([("2024-01-09 00:00", "a", 1.0)])
+    stream = events.windowed_totals(_arrivals(spark, tmp_path, [*parts, [("2024-01-09 00:01", "a", 1.0)]]))
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+    query = writer.format("noop").start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) >= 48 and held[-1] <= 2 and max(held) < 144
+
+
+def test_crosstab_takes_its_columns_from_the_data(spark):
+    long = spark.createDataFrame([("e", "NB", 1.0), ("e", "XX", 3.0), ("w", "PL", 2.0), ("n", None, 5.0)], "region string, kind string, gap double")
+    wide = cols.crosstab(long, "region", "kind", "gap", fill=0.0)
+    assert wide.columns == ["region", "NB", "PL", "XX"]
+    assert sorted(tuple(r) for r in wide.collect()) == [("e", 1.0, 0.0, 3.0), ("n", 0.0, 0.0, 0.0), ("w", 0.0, 2.0, 0.0)]
+    with pytest.raises(ValueError):
+        cols.crosstab(long, "region", "kind", "gap", most=2)
+
+
+def test_mean_correlation_without_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, w, float(rng.normal())) for s in range(12) for w in range(30) if rng.random() < 0.8] + [(99, w, 2.0) for w in range(30)]
+    got = {r["s"]: r["mean_r"] for r in network.connectedness(spark.createDataFrame(rows, "s int, w int, v double"), "s", "w", "v").collect()}
+    x = np.zeros((13, 30))
+    for s, w, v in rows:
+        x[12 if s == 99 else s, w] = v
+    want = np.corrcoef(x[:12]).mean(axis=1)
+    assert got.pop(99) is None
+    assert np.allclose([got[i] for i in range(12)], want)
+
+
+def test_actioned_list_has_the_published_headers(spark, tmp_path):
+    (tmp_path / "list.csv").write_text("Group Code,Effective date\n12,2001-05-01\nbad,2001-06-01\n7,never\n")
+    got = pg.actioned_list(spark, str(tmp_path / "list.csv")).collect()
+    assert [(r["group_code"], str(r["effective_date"])) for r in got] == [(12, "2001-05-01"), (None, "2001-06-01"), (7, "None")]
+
+
+def test_one_fact_read_for_pricing_strategy(spark):
+    from workload import QUERIES
+
+    df = QUERIES["pricing_strategy"].run(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("FileScan parquet") == 0  # the fact was read once, when built

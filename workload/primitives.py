@@ -59,7 +59,7 @@ query("csv_scan", "A1", "select * from catalog", "base_unit_retail_amt:2 cost:4"
 query("tab_scan", "A2", "select * from catalog", "base_unit_retail_amt:2 cost:4")(lambda v: delimited(v, "\t"))
 query(
     "csv_inferred_scan",
-    "A4 K30",
+    "A4",
     "select item_nbr, dept_desc, brand_type, base_unit_retail_amt, cost from catalog",
     "item_nbr:i base_unit_retail_amt:2 cost:4",
 )(lambda v: delimited(v, ",", infer=True).select("item_nbr", "dept_desc", "brand_type", "base_unit_retail_amt", "cost"))
