@@ -114,3 +114,16 @@ def test_known_prefixes_are_not_compared_again(monkeypatch):
     monkeypatch.setattr(S, "common", spy)
     assert len(list(S.merge_runs([iter(c) for c in coded]))) == 160
     assert sum(seen) < 500 * 8 + 160 * 8  # the shared 500 bytes once for each run, not for each entry
+
+
+def test_query_on_whole_table(spark):
+    import hashlib
+
+    from aislemetrics.llm.common import table
+    from aislemetrics.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in table(spark, folder, "documents").collect()]
+    got = QUERIES["op1_suffix_dedup"](spark, folder).collect()
+    want = [(k, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for k, n, spans, kept in brute(rows, 400)]
+    assert sorted(tuple(r) for r in got) == sorted(want) and any(w[2] for w in want)
