@@ -231,7 +231,11 @@ def velocity_classes(df: DataFrame, c: SalesColumns = C) -> DataFrame:
 
 def top_pct_share(df: DataFrame, share: float = 0.2, c: SalesColumns = C) -> DataFrame:
     """Revenue share of the top ``int(items * share)`` items."""
-    ranked = cumulative_share(numbers_by(df, [c.item], {"revenue": total(c.sales)}), c.item, "revenue")
+    return _top_share(numbers_by(df, [c.item], {"revenue": total(c.sales)}), share, c)
+
+
+def _top_share(stats: DataFrame, share: float, c: SalesColumns) -> DataFrame:
+    ranked = cumulative_share(stats, c.item, "revenue")
     limit = F.floor(F.col("entities") * F.lit(share))
     inside = F.col("position") <= limit
     revenue = F.coalesce(F.sum(F.when(inside, F.col("revenue"))), F.lit(0.0))
@@ -458,23 +462,45 @@ ADVICE = {
 
 
 def sales_report(df: DataFrame, c: SalesColumns = C) -> DataFrame:
-    """One-row business summary with recommendations joined by '; '."""
-    head = business_overview(df, c)
+    """One-row business summary with recommendations joined by '; '.
+
+    The fact is read once: totals per store, per item, per week and over all come from one pass of
+    grouping sets and are kept, a row for each key.
+    """
+    keys = (c.store, c.item, c.week)
+    folded = df.groupingSets([[c.store], [c.item], [c.week], []], *keys).agg(
+        F.grouping_id().alias("_level"),
+        total(c.sales).alias("revenue"),
+        total(c.qty).alias("units"),
+        F.avg(c.onhand).alias("avg_inventory"),
+        (rate(F.coalesce(F.col(c.onhand) == 0, F.lit(False))) * 100).alias("stockout_rate_pct"),
+        F.avg(c.ratio).alias("avg_ratio"),
+    )
+    folded = materialize(folded)
+    # the level's bits say which of (store, item, week) is summed over
+    by_store, by_item, by_week = (
+        folded.where((F.col("_level") == level) & F.col(key).isNotNull()) for level, key in zip((3, 5, 6), keys)
+    )
     stores = scalar_row(
-        numbers_by(df, [c.store], {"revenue": total(c.sales)}).agg(
-            key_of_max(c.store, "revenue").alias("top_store"), F.max("revenue").alias("top_store_revenue")
+        by_store.agg(
+            F.count(F.lit(1)).alias("stores"),
+            key_of_max(c.store, "revenue").alias("top_store"),
+            F.max("revenue").alias("top_store_revenue"),
         )
     )
-    levels = scalar_row(
-        df.agg(
-            total(c.qty).alias("units"),
-            F.avg(c.onhand).alias("avg_inventory"),
-            (rate(F.coalesce(F.col(c.onhand) == 0, F.lit(False))) * 100).alias("stockout_rate_pct"),
-            F.avg(c.ratio).alias("avg_ratio"),
-        )
+    items = by_item.agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = _top_share(by_item.select(c.item, "revenue"), 0.2, c).select("top_share_pct").scalar()
+    levels = scalar_row(folded.where("_level = 7").select("units", "avg_inventory", "stockout_rate_pct", "avg_ratio"))
+    weeks = by_week.agg(
+        F.count(F.lit(1)).alias("weeks"),
+        F.min(c.week).alias("first_week"),
+        F.max(c.week).alias("last_week"),
+        F.sum("revenue").alias("revenue"),
+        F.avg("revenue").alias("avg_weekly_revenue"),
     )
-    share = top_pct_share(df, 0.2, c).select("top_share_pct").scalar()
-    out = head.withColumns(
+    out = weeks.select(
+        stores["stores"].alias("stores"), items.alias("items"), "weeks", "first_week", "last_week", "revenue", "avg_weekly_revenue"
+    ).withColumns(
         {
             "top_store": stores["top_store"],
             "top_store_revenue": stores["top_store_revenue"],
