@@ -50,7 +50,17 @@ def test_long_pieces(machine, reference):
 def test_lookahead_is_bounded(machine, ranks):
     machine.encode("aeinorst" * 500)
     longest = max(map(len, ranks))
-    assert max(len(held) for _, held, _ in machine.states) <= 2 * longest
+    assert max(len(held) for held, _, _ in machine.states) <= 2 * longest
+
+
+def test_spines_agree_with_merging(machine, ranks):
+    rng = np.random.default_rng(8)
+    names = sorted(ranks)
+    picks = [names[i] for i in rng.integers(0, len(names), 6000)] + [t for t in names if len(t) <= 2][::7]
+    rng.shuffle(picks)
+    for a, b in zip(picks, picks[1:]):
+        if machine._spines(a) is not None and machine._spines(b) is not None:
+            assert machine._stays(a, b) == (machine._merges(a + b)[0] == [a, b])
 
 
 def test_bounded_memories(ranks, reference, monkeypatch):
