@@ -3,7 +3,7 @@
 Every word has a sparse random index vector that follows from its hash. The vector of a word is its
 index vector plus the direction of the sum of the index vectors around it (random indexing); words
 not met in fitting have their index vector alone. Shapes of words (runs of upper-case, lower-case,
-digits and signs) are treated likewise, in dimensions of their own. A document is the mean over all
+digits and signs) and a word said twice in a row are treated likewise, in dimensions of their own. A document is the mean over all
 its words. Two dense layers give a logit; a temperature fitted on rows left out of training turns it
 into a calibrated probability.
 
@@ -29,48 +29,72 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aislemetrics.session import materialize
+
 FIT_ROWS = 6000
 VOCABULARY = 20_000
 DIM = 64  # of the word part and of the shape part
 NONZERO = 6
 WINDOW = 2
+PARTS = 8  # of the fitting sample
 HIDDEN = 32
 EPOCHS = 60
-CACHE = 60_000  # token vectors a worker keeps
+CACHE = 200_000  # tokens a worker keeps
 
 _RUNS = re.compile(r"(.)\1+")
+_SHIFTS = np.arange(NONZERO, dtype=np.uint64)[:, None] * np.uint64(7)
+
+
+def name_hash(name: str) -> int:
+    return int.from_bytes(blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def index_sum(hashes: np.ndarray) -> np.ndarray:
+    """Sum of the sparse ternary vectors of words: each hash holds ``NONZERO`` places and signs."""
+    bits = hashes[None, :] >> _SHIFTS
+    places = (bits & np.uint64(DIM - 1)).astype(np.int64).ravel()
+    signs = 1.0 - 2.0 * ((bits >> np.uint64(6)) & np.uint64(1)).astype(np.float64).ravel()
+    return np.bincount(places, weights=signs, minlength=DIM)
 
 
 def index_vector(name: str) -> np.ndarray:
-    """The sparse ternary vector of a word: ``NONZERO`` places and signs taken from its hash."""
-    raw = np.frombuffer(blake2b(name.encode("utf-8", "surrogatepass"), digest_size=2 * NONZERO).digest(), np.uint16)
-    out = np.zeros(DIM, np.float32)
-    np.add.at(out, raw % DIM, np.where(raw >> 15, 1.0, -1.0).astype(np.float32))
-    return out
+    return index_sum(np.array([name_hash(name)], np.uint64)).astype(np.float32)
+
+
+class _Kinds(dict):
+    """Character to its kind, for ``str.translate``; filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
 
 
-def shape_of(token: str) -> str:
+def shape_of(token: str, kinds: dict | None = None) -> str:
     """Runs of character kinds: ``SALE!!`` is ``X!``, ``Word,`` is ``Xx,``."""
-    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64]]
-    return _RUNS.sub(r"\1", "".join(kinds))
+    return _RUNS.sub(r"\1", token[:64].translate(_Kinds() if kinds is None else kinds))
 
 
 class Pool:
-    """Mean vectors of documents; keeps the vectors of recent tokens."""
+    """Mean vectors of documents; keeps what it knows of recent tokens."""
 
     def __init__(self, context: dict[str, np.ndarray]):
-        self.context, self.rows, self.matrix, self.shapes = context, {}, np.zeros((CACHE, 2 * DIM), np.float32), {}
+        self.place = {w: i + 1 for i, w in enumerate(context)}
+        self.vectors = np.stack([np.zeros(DIM, np.float32), *context.values()])
+        self.kinds, self.rows, self.shapes = _Kinds(), {}, {}
+        self.words, self.forms = np.zeros(CACHE, np.uint64), np.zeros(CACHE, np.uint64)
+        self.near = np.zeros(CACHE, np.int32)
+        self.again = index_vector("\0again").astype(np.float64)
 
     def _row(self, token: str) -> int:
         at = self.rows[token] = len(self.rows)
-        low = token.lower()
-        word, near, shape = index_vector(low), self.context.get(low), shape_of(token)
-        if shape not in self.shapes:
+        low, shape = token.lower(), shape_of(token, self.kinds)
+        form = self.shapes.get(shape)
+        if form is None:
             if len(self.shapes) > CACHE:
                 self.shapes.clear()
-            self.shapes[shape] = index_vector("\0" + shape)
-        self.matrix[at, :DIM] = word if near is None else word + near
-        self.matrix[at, DIM:] = self.shapes[shape]
+            form = self.shapes[shape] = name_hash("\0" + shape)
+        self.words[at], self.forms[at], self.near[at] = name_hash(low), form, self.place.get(low, 0)
         return at
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -80,8 +104,10 @@ class Pool:
             if len(rows) + len(part) > CACHE:
                 rows.clear()
             get, make = rows.get, self._row
-            ids = [at if (at := get(t)) is not None else make(t) for t in part]
-            total += self.matrix[ids].sum(axis=0, dtype=np.float64)
+            ids = np.array([at if (at := get(t)) is not None else make(t) for t in part])
+            near = self.near[ids]
+            total[:DIM] += index_sum(self.words[ids]) + self.vectors[near[near > 0]].sum(axis=0, dtype=np.float64)
+            total[DIM:] += index_sum(self.forms[ids]) + self.again * np.count_nonzero(ids[1:] == ids[:-1])
         return total / max(1, len(tokens))
 
 
@@ -134,40 +160,51 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
                 p[k] = p[k] - 0.003 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
     if len(held):
-        z = net.logit(x[held])
-        best = min(np.geomspace(0.25, 8, 61), key=lambda t: _nll(z / t, y[held]))
+        z, n1 = net.logit(x[held]), y[held].sum()
+        # smoothed targets, so that a perfect split does not ask for certainty
+        target = np.where(y[held] > 0.5, (n1 + 1) / (n1 + 2), 1 / (len(held) - n1 + 2))
+        best = min(np.geomspace(0.25, 8, 61), key=lambda t: _nll(z / t, target))
         net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]), float(best))
     return net
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per word of a partition: occurrences, and the sum of the index vectors around them."""
-    vectors: dict[str, np.ndarray] = {}
-    sums: dict[str, np.ndarray] = {}
-    counts: Counter[str] = Counter()
+def _words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for text in batch["text"]:
-            words = (text or "").lower().split()
-            for w in set(words):
-                if w not in vectors:
-                    vectors[w], sums[w] = index_vector(w), np.zeros(DIM, np.float32)
-            counts.update(words)
-            if not words:
-                continue
-            e = np.stack([vectors[w] for w in words])
-            near = np.zeros_like(e)
-            for k in range(1, WINDOW + 1):
-                near[k:] += e[:-k]
-                near[:-k] += e[k:]
-            for w, row in zip(words, near):
-                sums[w] += row
-    for i in range(0, len(names := list(sums)), 5000):
-        part = names[i : i + 5000]
-        frame = pd.DataFrame(np.stack([sums[w] for w in part]).astype(np.float64), columns=[f"v{k}" for k in range(DIM)])
-        frame.insert(0, "n", [counts[w] for w in part])
-        frame.insert(0, "word", part)
+        counts = Counter(w for text in batch["text"] for w in _words_of(text))
+        yield pd.DataFrame({"word": list(counts), "n": np.array(list(counts.values()), np.int64)})
+
+
+def _contexts(chosen):
+    """Per chosen word of a partition: the sum of the index vectors around it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = {w: i for i, w in enumerate(chosen.value)}
+        sums, vectors = np.zeros((len(place), DIM)), {}
+        for batch in batches:
+            for text in batch["text"]:
+                words = _words_of(text)
+                at = np.array([place.get(w, -1) for w in words], np.int64)
+                for w in words:
+                    if w not in vectors:
+                        vectors[w] = index_vector(w)
+                if (at >= 0).any():
+                    own = np.stack([vectors[w] for w in words])
+                    near = np.zeros_like(own)
+                    for k in range(1, WINDOW + 1):
+                        near[k:] += own[:-k]
+                        near[:-k] += own[k:]
+                    np.add.at(sums, at[at >= 0], near[at >= 0])
+        met = np.flatnonzero(np.abs(sums).sum(axis=1))
+        frame = pd.DataFrame(sums[met], columns=[f"v{k}" for k in range(DIM)])
+        frame.insert(0, "word", met)
         yield frame
 
+    return run
+
 
 @dataclass(frozen=True)
 class Model:
@@ -184,23 +221,27 @@ def _sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, tex
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """``labels``: doc_id, quality. ``usable``: condition on ``id`` that a row may be learnt from."""
-    rows = _sample(docs, labels, usable, id_col, text_col)
-    shape = "word string, n long, " + ", ".join(f"v{k} double" for k in range(DIM))
-    words = rows.select("text").mapInPandas(_contexts, shape)
-    words = words.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)])
-    top = words.filter("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
-    sums = top[[f"v{k}" for k in range(DIM)]].to_numpy(np.float32)
-    sums /= np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True))
-    context = dict(zip(top["word"], sums))
+    # at most FIT_ROWS texts, kept so that the documents are read once
+    rows = materialize(_sample(docs, labels, usable, id_col, text_col).repartition(PARTS))
+    words = rows.select("text").mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    chosen = [r.word for r in words.filter("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    names = [f"v{k}" for k in range(DIM)]
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+    near = rows.select("text").mapInPandas(_contexts(sent), "word long, " + ", ".join(f"{c} double" for c in names))
+    near = near.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+    got = near.select("word", F.array(*[F.col(c).cast("float") for c in names]).alias("v")).toPandas()
+    context = {chosen[i]: np.asarray(v, np.float32) / max(1e-6, float(np.linalg.norm(v))) for i, v in zip(got["word"], got["v"])}
     shared = docs.sparkSession.sparkContext.broadcast(context)
 
     def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool = Pool(shared.value)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype("int64"), "y": batch["y"], "x": [pool(t) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"].astype("int64"), "y": batch["y"], "x": [pool(t).astype(np.float32) for t in batch["text"]]})
 
-    got = rows.mapInPandas(pooled, "id long, y double, x array<double>").toPandas().sort_values(["id", "y"])
-    x = np.stack(got["x"].tolist()) if len(got) else np.zeros((0, 2 * DIM))
+    got = rows.mapInPandas(pooled, "id long, y double, x array<float>").toPandas().sort_values(["id", "y"])
+    sent.destroy()
+    shared.destroy()
+    x = np.stack(got["x"].tolist()).astype(np.float64) if len(got) else np.zeros((0, 2 * DIM))
     return Model(context, train(x, (got["y"].to_numpy(np.float64) >= 0.5).astype(np.float64)))
 
 
