@@ -29,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import BROADCAST_BYTES, LOWER, UPPER
+from aislemetrics.llm.common import BROADCAST_BYTES
 from aislemetrics.session import materialize
 
 WINDOW = 8
 COVER = 0.5
+CACHE = 300_000  # words a worker keeps
 SHAPE = "id long, pos int, hash long, width int, slots array<struct<at:int,kind:string,value:string>>"
 
 # Words that are units after a number or alone.
@@ -45,52 +46,65 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d,.:/]*(?:st|nd|rd|th|%|e[+-]?\d+)?$", re.I)
 _EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’…|*_#&~-"
-_FOLD = str.maketrans(UPPER, LOWER)
+_ENDS = tuple(".!?:;")
 _U = np.uint64
 
 
-def _hash(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def _hash(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
 
-_words: dict[str, tuple[int, str | None, str, bool, bool]] = {}
-_NAME = _hash("\0name")
+_NAME = _hash(b"\0name")
+_KINDS = (None, "number", "unit", "name")
 
 
 def template_word(word: str) -> tuple[int, str | None, str, bool, bool]:
     """Hash of the template word, slot kind (or None), value, written like a name?, ends a sentence?"""
-    known = _words.get(word)
-    if known is None:
-        if len(_words) > 300_000:
-            _words.clear()
-        bare = word.strip(_EDGES) or word
-        low = bare.translate(_FOLD)
-        ends = word.rstrip("\"'”’)]»")[-1:] in tuple(".!?:;")
-        if _NUMBER.match(bare):
-            known = (_hash("\0number"), "number", low, False, ends)
-        elif low in UNITS:
-            known = (_hash("\0unit"), "unit", low, False, ends)
-        else:
-            known = (_hash(low), None, low, bare[:1].isupper() and bare[1:].islower(), ends)
-        _words[word] = known
-    return known
-
-
-def templated(text: str | None) -> tuple[np.ndarray, list[tuple[int, str, str]]]:
-    """Hashes of the template words, and slots (place, kind, value).
-
-    A name is a capitalised word inside a sentence; the first word of a sentence or text is none.
-    """
-    hashes, slots, fresh = [], [], True
-    for i, word in enumerate((text or "").split()):
-        h, kind, value, capital, ends = template_word(word)
-        if capital and not fresh:
-            h, kind = _NAME, "name"
-        if kind:
-            slots.append((i, kind, value))
-        hashes.append(h)
-        fresh = ends
-    return np.array(hashes, _U), slots
+    bare = word.strip(_EDGES) or word
+    low = bare.encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
+    value = low.decode("utf-8", "surrogatepass")
+    ends = word.rstrip("\"'”’)]»")[-1:] in _ENDS
+    if not bare.isalpha() and _NUMBER.match(bare):
+        return _hash(b"\0number"), "number", value, False, ends
+    if value in UNITS:
+        return _hash(b"\0unit"), "unit", value, False, ends
+    return _hash(low), None, value, bare[:1].isupper() and bare[1:].islower(), ends
+
+
+class Templates:
+    """Texts as template words; keeps what it knows of recent words."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.hashes, self.kinds = np.zeros(CACHE, _U), np.zeros(CACHE, np.int8)
+        self.capital, self.ends = np.zeros(CACHE, bool), np.zeros(CACHE, bool)
+
+    def _row(self, word: str) -> int:
+        at = self.rows[word] = len(self.rows)
+        self.hashes[at], kind, _, self.capital[at], self.ends[at] = template_word(word)
+        self.kinds[at] = _KINDS.index(kind)
+        return at
+
+    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, hashes of their template words, and slot kinds.
+
+        A name is a capitalised word inside a sentence; the first word of a sentence or text is none.
+        """
+        words, parts, rows = (text or "").split(), [], self.rows
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            if len(rows) + len(part) > CACHE:
+                rows.clear()
+            get, make = rows.get, self._row
+            ids = np.array([at if (at := get(w)) is not None else make(w) for w in part])
+            parts.append((self.hashes[ids], self.kinds[ids], self.capital[ids], self.ends[ids]))
+        if not parts:
+            return words, np.empty(0, _U), np.empty(0, np.int8)
+        hashes, kinds, capital, ends = (np.concatenate(x) for x in zip(*parts))
+        names = capital.copy()
+        names[0] = False
+        names[1:] &= ~ends[:-1]
+        return words, np.where(names, _U(_NAME), hashes), np.where(names, np.int8(3), kinds)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -103,21 +117,25 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _rows(key, text: str | None, widths: list[int], wanted: np.ndarray | None) -> list[tuple]:
-    hashes, slots = templated(text)
-    at = np.array([s[0] for s in slots])
+def _rows(key, text: str | None, templates: Templates, widths: list[int] | int, wanted: np.ndarray | None) -> list[tuple]:
+    """(id, position, hash, width, slots) of the windows that are wanted; an integer width is cut to the text."""
+    words, hashes, kinds = templates(text)
+    if isinstance(widths, int):
+        widths = [min(widths, len(words))] if words else []
     out = []
     for width in widths:
         found = windows(hashes, width)
         if wanted is None:
             places = np.arange(len(found))
+        elif len(wanted):
+            near = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+            places = np.flatnonzero(wanted[near] == found)
         else:
-            near = np.minimum(np.searchsorted(wanted, found), max(0, len(wanted) - 1))
-            places = np.flatnonzero(wanted[near] == found) if len(wanted) else np.empty(0, int)
+            places = np.empty(0, int)
         for p in places.tolist():
-            lo, hi = np.searchsorted(at, [p, p + width]) if len(at) else (0, 0)
-            inside = [{"at": s[0] - p, "kind": s[1], "value": s[2]} for s in slots[lo:hi]]
-            out.append((key, p, int(found[p].view(np.int64)), width, inside))
+            inside = np.flatnonzero(kinds[p : p + width]).tolist()
+            slots = [{"at": i, "kind": _KINDS[kinds[p + i]], "value": template_word(words[p + i])[2]} for i in inside]
+            out.append((key, p, int(found[p].view(np.int64)), width, slots))
     return out
 
 
@@ -131,11 +149,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _item_windows(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        templates = Templates()
         for batch in batches:
             rows = []
             for key, text in zip(batch["id"], batch["text"]):
-                n = len((text or "").split())
-                rows += _rows(key, text, [min(size, n)] if n else [], None)
+                rows += _rows(key, text, templates, size, None)
             yield _frame(rows)
 
     return run
@@ -143,11 +161,11 @@ def _item_windows(size: int):
 
 def _doc_windows(widths: list[int], wanted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = None if wanted is None else wanted.value
+        known, templates = None if wanted is None else wanted.value, Templates()
         for batch in batches:
             rows = []
             for key, text in zip(batch["id"], batch["text"]):
-                rows += _rows(key, text, widths, known)
+                rows += _rows(key, text, templates, widths, known)
                 if len(rows) > 20_000:
                     yield _frame(rows)
                     rows = []
