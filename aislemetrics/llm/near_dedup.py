@@ -12,8 +12,9 @@
    costs about n comparisons and a cell returns a spanning forest, not all pairs.
 4. Links are closed to components.
 
-The chance to lose a true link is that of no shared band, (1 - t^ROWS)^BANDS = 3e-6 at the threshold,
-plus ``miss`` for each batch.
+Bands and rows follow from the threshold t: the longest bands with (1 - t^rows)^bands <= ``miss``. The
+chance to lose a true link is that of no shared band (2.8e-8 at t = 0.85, 1.0e-7 at t = 0.80) plus
+``miss`` for each batch.
 
 Cases: a text without words (null, empty) has no shingles and is linked with nothing; fewer words
 than a shingle make one shingle of all. A null id is never linked: its component is null and the row
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from aislemetrics.llm.common import ascii_lower, by_key, components
 from aislemetrics.session import materialize
 
-BANDS, ROWS = 40, 8
+VALUES = 320  # of a signature, if the threshold does not ask for more
 BATCH = 32  # signature values compared before the posterior is looked at
 MISS = 1e-6  # chance to drop a pair at the threshold, for each batch
 BLOCK = 64  # least members of a block
@@ -79,7 +80,23 @@ def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
-def signature(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+@lru_cache(8)
+def layout(percent: int, miss: float) -> tuple[int, int]:
+    """(bands, rows): the most rows whose bands all miss a pair at the threshold with chance ``miss`` at most."""
+    t = percent / 100
+    for rows in range(VALUES, 0, -1):
+        bands = VALUES // rows
+        if (1 - t**rows) ** bands <= miss:
+            return bands, rows
+    return math.ceil(math.log(miss) / math.log1p(-t)), 1
+
+
+def width(bands: int, rows: int) -> int:
+    """Signature values: whole batches that hold all bands, ``VALUES`` at least."""
+    return max(VALUES, -(-bands * rows // BATCH) * BATCH)
+
+
+def signature(hashes: np.ndarray, n: int = VALUES) -> np.ndarray:
     """MinHash values (32 bits) of a non-empty set."""
     a, b = _family(n)
     low = np.full(n, 0xFFFFFFFF, np.uint32)
@@ -94,11 +111,11 @@ def signature(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     return low
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(_U)
-    out = np.arange(BANDS, dtype=_U)
-    for i in range(ROWS):
-        out = _mix(out * _U(0x9E3779B97F4A7C15) + rows[:, i] + _U(1))
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    values = sig[: bands * rows].reshape(bands, rows).astype(_U)
+    out = np.arange(bands, dtype=_U)
+    for i in range(rows):
+        out = _mix(out * _U(0x9E3779B97F4A7C15) + values[:, i] + _U(1))
     return out.view(np.int64)
 
 
@@ -121,7 +138,7 @@ def least_matches(threshold: float, miss: float, steps: int, batch: int) -> list
     return out
 
 
-def _described(size: int):
+def _described(size: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -129,7 +146,7 @@ def _described(size: int):
                 s = shingles(text, size)
                 if len(s):
                     d = blake2b(s.tobytes(), digest_size=16).digest()
-                    keys = band_keys(signature(s))
+                    keys = band_keys(signature(s, width(bands, rows)), bands, rows)
                     out.append((i, len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), keys))
                 else:
                     out.append((i, 0, 0, 0, None))
@@ -140,13 +157,13 @@ def _described(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, values: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, size) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "family": batch["family"], "members": batch["members"],
-                "hashes": [s.tobytes() for s in sets], "sig": [signature(s).tobytes() for s in sets],
+                "hashes": [s.tobytes() for s in sets], "sig": [signature(s, values).tobytes() for s in sets],
             })
 
     return run
@@ -163,10 +180,11 @@ def forest(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, percent: in
             i = root[i]
         return i
 
-    keys = np.stack([band_keys(s) for s in sigs]) if n else np.empty((0, BANDS), np.int64)
-    least = least_matches(percent / 100, miss, BANDS * ROWS // BATCH, BATCH)
+    bands, rows = layout(percent, miss)
+    keys = np.stack([band_keys(s, bands, rows) for s in sigs]) if n else np.empty((0, bands), np.int64)
+    least = least_matches(percent / 100, miss, width(bands, rows) // BATCH, BATCH)
     sizes = np.array([len(s) for s in sets])
-    buckets: list[dict[int, list[int]]] = [{} for _ in range(BANDS)]
+    buckets: list[dict[int, list[int]]] = [{} for _ in range(bands)]
     links = []
     for i in range(n):
         near: set[int] = set()
@@ -217,7 +235,8 @@ def near_groups(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.col(text_col)).alias("text"))
     shape = "doc_id long, n long, k1 long, k2 long, bands array<long>"
-    marks = materialize(source.mapInPandas(_described(size), shape))
+    bands, per_band = layout(percent, miss)
+    marks = materialize(source.mapInPandas(_described(size, bands, per_band), shape))
     linkable = marks.filter("n > 0 and doc_id is not null")
     first = [F.min_by("bands", "doc_id").alias("bands")]
     classes = materialize(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *first))
@@ -229,7 +248,7 @@ def near_groups(
     members = materialize(families.join(counts, "root").select("id", F.col("root").alias("family"), "members"))
     texts = source.join(members.withColumnRenamed("id", "doc_id"), "doc_id")
     # rows that repeat an id and differ in text: the text of the class representative is among them
-    ready = texts.mapInPandas(_sets(size), "doc_id long, family long, members long, hashes binary, sig binary")
+    ready = texts.mapInPandas(_sets(size, width(bands, per_band)), "doc_id long, family long, members long, hashes binary, sig binary")
     block = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("members") / _GRID)), F.lit(_MOST)).cast("long")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")

@@ -98,3 +98,13 @@ def test_components(spark):
     got = components(spark.createDataFrame([*edges, *chain, (None, 3)], "a long, b long"))
     want = {i: 1 for i in (1, 2, 3, 4, 5, 30)} | {i: 10 for i in (10, 11, 12)} | {i: 20 for i in (20, 21, 22)} | {100 + i: 100 for i in range(41)}
     assert {r.id: r.root for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 80, 82, 85, 95])
+def test_bands_follow_the_threshold(percent):
+    bands, rows = M.layout(percent, M.MISS)
+    assert (1 - (percent / 100) ** rows) ** bands <= M.MISS
+    assert M.width(bands, rows) >= bands * rows and M.width(bands, rows) % M.BATCH == 0
+    rng = np.random.default_rng(percent)
+    sig = rng.integers(0, 1 << 32, (2, M.width(bands, rows)), np.uint32)
+    assert len(M.band_keys(sig[0], bands, rows)) == bands and not (M.band_keys(sig[0], bands, rows) == M.band_keys(sig[1], bands, rows)).any()
