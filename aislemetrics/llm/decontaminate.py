@@ -3,10 +3,12 @@
 Texts and benchmark items become sequences of template words: A-Z lower-cased, punctuation at the
 ends taken off, and numbers, units and names replaced by typed placeholders, whose own values are kept
 as slots. Windows of template words are hash-joined. Matching windows on one diagonal (document
-position minus item position) are one alignment; its slots must be consistent: one item value always
-stands for one document value of the same type, so that a re-parameterised question matches, and an
-unrelated text of the same pattern does not. An item is found in a
-document if consistent windows cover at least ``cover`` of its words.
+position minus item position) are one alignment. A window counts if its slots are equal to the item's,
+or if each stands by the alignment's mapping: an item value stands for the document value of the same
+type that it meets at the most places, and for none if two are met at equally many. So a
+re-parameterised question matches, an edited place costs only the windows over it, and an unrelated
+text of the same pattern does not match. An item is found in a document if such windows cover at least
+``cover`` of its words.
 
 The windows of the benchmark are the small side: their measured size decides whether a set of their
 hashes is broadcast, so that each task keeps only windows that occur in the benchmark, or all windows
@@ -21,6 +23,7 @@ row for each input row. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -174,6 +177,27 @@ def _doc_windows(widths: list[int], wanted):
     return run
 
 
+def agreeing(windows: list[dict]) -> list[dict]:
+    """Of the windows of one alignment, those with the item's own values or by its most frequent mapping."""
+    met = {(w["item_pos"] + p["at"], p["kind"], p["item"], p["doc"]) for w in windows for p in w["pairs"]}
+    times = Counter((kind, item, doc) for _, kind, item, doc in met)
+    best: dict[tuple[str, str], tuple[int, str | None]] = {}
+    for (kind, item, doc), n in times.items():
+        most, _ = best.get((kind, item), (0, None))
+        if n >= most:
+            best[kind, item] = (n, doc if n > most else None)
+    out = []
+    for w in windows:
+        same = all(p["item"] == p["doc"] for p in w["pairs"])
+        if same or all(best[p["kind"], p["item"]][1] == p["doc"] for p in w["pairs"]):
+            out.append({"item_pos": w["item_pos"], "width": w["width"]})
+    return out
+
+
+def _agreeing(lines: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else agreeing(x) for x in lines], dtype=object)
+
+
 def found_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     size: int = WINDOW, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES,
@@ -194,13 +218,16 @@ def found_items(
     met = source.mapInPandas(_doc_windows(widths, wanted), SHAPE)
     right = bench.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash", "width", F.col("slots").alias("item_slots"))
     pairs = met.join(F.broadcast(right) if small else right, ["hash", "width"])
-    values = F.zip_with("slots", "item_slots", lambda d, i: F.struct(i["kind"].alias("kind"), i["value"].alias("item"), d["value"].alias("doc")))
+    values = F.zip_with("slots", "item_slots", lambda d, i: F.struct(i["at"].alias("at"), i["kind"].alias("kind"), i["value"].alias("item"), d["value"].alias("doc")))
     pairs = pairs.select("id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "width", values.alias("pairs"))
-    lines = pairs.groupBy("id", "item", "diagonal").agg(
-        F.collect_set(F.struct("item_pos", "width")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    keys = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"])))
-    lines = lines.filter(F.size("pairs") == F.size(keys))
+    lines = pairs.groupBy("id", "item", "diagonal").agg(F.collect_set(F.struct("item_pos", "width", "pairs")).alias("windows"))
+    mapped = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.transform(w["pairs"], lambda p: F.struct(p["kind"], p["item"], p["doc"])))))
+    keys = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.transform(w["pairs"], lambda p: F.struct(p["kind"], p["item"])))))
+    # only alignments in which a value meets two go through Python
+    lines = lines.withColumn("mixed", F.when(F.size(mapped) > F.size(keys), F.col("windows")))
+    picked = F.pandas_udf(_agreeing, "array<struct<item_pos:int,width:int>>")
+    own = F.transform("windows", lambda w: F.struct(w["item_pos"].alias("item_pos"), w["width"].alias("width")))
+    lines = lines.select("id", "item", F.when(F.col("mixed").isNull(), own).otherwise(picked("mixed")).alias("spans"))
     words = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["item_pos"], s["item_pos"] + s["width"] - 1))))
     covered = lines.select("id", "item", F.explode(words).alias("word")).groupBy("id", "item").agg(F.count_distinct("word").alias("hit"))
     length = lengths.select(F.col("id").alias("item"), "words")

@@ -107,3 +107,19 @@ def test_query_finds_all_passages(spark):
     assert len(rows) == len(docs) and plain and plain <= got
     few = sorted({d for d, _ in got} | {d for d, _ in docs[:40]})
     assert {x for x in got if x[0] in few} == brute([x for x in docs if x[0] in few], items)
+
+
+def test_an_edited_place_costs_only_its_windows(spark):
+    rng = random.Random(4)
+    text = [w for _ in range(12) for w in (*rng.choices(WORDS, k=4), "5")]
+    edited = list(text)
+    edited[14] = "77"  # "5" elsewhere
+    moved = ["812" if w == "5" else w for w in text]
+    moved[34] = "999"  # one place against the mapping 5 -> 812
+    torn = [str(100 + i) if w == "5" else w for i, w in enumerate(text)]  # no mapping at all
+    docs = [(i, " ".join(rng.choices(WORDS, k=9) + w + rng.choices(WORDS, k=9))) for i, w in enumerate([text, edited, moved, torn])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(text))], "item_id int, text string")
+    for bytes_ in (D.BROADCAST_BYTES, 0):
+        got = {r.doc_id for r in D.found_items(d, b, broadcast_bytes=bytes_, cover=0.6).collect()}
+        assert got == {0, 1, 2}
