@@ -3,7 +3,8 @@
 Every word has a sparse random index vector that follows from its hash. The vector of a word is its
 index vector plus the direction of the sum of the index vectors around it (random indexing); words
 not met in fitting have their index vector alone. Shapes of words (runs of upper-case, lower-case,
-digits and signs) and a word said twice in a row are treated likewise, in dimensions of their own. A document is the mean over all
+digits and signs) and a word said twice in a row are treated likewise, in dimensions of their own. A
+longer word than ``LONGEST`` counts as its consecutive pieces. A document is the mean over all
 its words. Two dense layers give a logit; a temperature fitted on rows left out of training turns it
 into a calibrated probability.
 
@@ -40,6 +41,7 @@ PARTS = 8  # of the fitting sample
 HIDDEN = 32
 EPOCHS = 60
 CACHE = 200_000  # tokens a worker keeps
+LONGEST = 64  # characters of a token
 
 _RUNS = re.compile(r"(.)\1+")
 _SHIFTS = np.arange(NONZERO, dtype=np.uint64)[:, None] * np.uint64(7)
@@ -70,9 +72,17 @@ class _Kinds(dict):
         return kind
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """Words between blanks; the pieces of longer ones than ``LONGEST``."""
+    tokens = (text or "").split()
+    if not tokens or max(map(len, tokens)) <= LONGEST:
+        return tokens
+    return [t[i : i + LONGEST] for t in tokens for i in range(0, len(t), LONGEST)]
+
+
 def shape_of(token: str, kinds: dict | None = None) -> str:
     """Runs of character kinds: ``SALE!!`` is ``X!``, ``Word,`` is ``Xx,``."""
-    return _RUNS.sub(r"\1", token[:64].translate(_Kinds() if kinds is None else kinds))
+    return _RUNS.sub(r"\1", token.translate(_Kinds() if kinds is None else kinds))
 
 
 class Pool:
@@ -98,7 +108,7 @@ class Pool:
         return at
 
     def __call__(self, text: str | None) -> np.ndarray:
-        tokens, total, rows = (text or "").split(), np.zeros(2 * DIM), self.rows
+        tokens, total, rows = tokens_of(text), np.zeros(2 * DIM), self.rows
         for i in range(0, len(tokens), 20_000):
             part = tokens[i : i + 20_000]
             if len(rows) + len(part) > CACHE:
@@ -169,7 +179,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
 
 
 def _words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    return [t.lower() for t in tokens_of(text)]
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

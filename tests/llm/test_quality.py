@@ -53,3 +53,13 @@ def test_null_empty_and_no_labels(spark):
     assert [round(r.score, 6) for r in got] == [0.5] * 4
     none = docs.limit(0)
     assert none.withColumn("score", Q.quality_score(spark, model)("text")).count() == 0
+
+
+def test_long_tokens_count_whole():
+    pool = Q.Pool({})
+    start, piece = "ab1" * 21 + "c", "QQ--99zz" * 8
+    got = pool(start + piece + "tail9")
+    want = np.mean([Q.index_vector("\0" + Q.shape_of(t)) for t in (start, piece, "tail9")], axis=0)
+    assert np.allclose(got[Q.DIM :], want, atol=1e-6)
+    assert Q.shape_of("x" * 70 + "9") == "x9" and Q.tokens_of("a " + "b" * 130) == ["a", "b" * 64, "b" * 64, "bb"]
+    assert not np.allclose(pool(start)[Q.DIM :], got[Q.DIM :])
