@@ -4,16 +4,16 @@ Counting. Words are keyed by 64-bit hashes. Counts of all training words are exa
 distributed table. The ``FREQUENT`` most frequent words at most, a fixed bound, go to every worker
 with their counts; all other words of a document are joined to the table.
 
-Model. The ``CLASSES`` most frequent words are classes of their own, the others share one. Counts of
-neighbouring classes are quantised to powers of two, and a pair of level j is entered into a Bloom
-filter j times, as (pair, 1) .. (pair, j). A count is read by probing levels until one is missing.
-The filter grows with the number of pairs up to ``MOST_BITS`` (16 MB, what is broadcast); beyond
-that, pairs of the lowest levels are left out, which smoothing then covers. It is built by segments,
-each in one task.
+Model. Counts of all neighbouring words are exact and stay a distributed table too. They are quantised
+to powers of two, and a pair of frequent words of level j is entered into a Bloom filter j times, as
+(pair, 1) .. (pair, j). A count is read by probing levels until one is missing. The filter grows with
+the number of pairs up to ``MOST_BITS`` (16 MB, what is broadcast); beyond that it holds the highest
+levels only. It is built by segments, each in one task. Every pair of a document that the filter does
+not hold, or that has a word beyond the frequent ones, is joined to the table, so no level is lost.
 
-P(w | v) = P(class w | class v) * P(w | class w), with P(class w | class v) a mixture of the probed
-count over the count of class v and of the smoothed frequency of class w. A false positive of the
-filter (about 1 in 200) raises one count.
+P(w | v) is a mixture of the quantised count of (v, w) over the count of v and of the smoothed frequency
+of w, and that frequency alone if v was not met in training. A false positive of the filter (about 1
+in 200 where it holds all levels) raises one count.
 
 Cases: null and empty texts hold only the end token. Without training rows every base probability
 is 1. A null id counts as the text '' for the split. Rows that repeat an id are rows of their own.
@@ -33,11 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import by_key, crc_mod
+from aislemetrics.llm.common import by_key, crc_mod, written
 from aislemetrics.session import materialize
 
 FREQUENT = 200_000
-CLASSES = 8192
 MOST_BITS = 1 << 27
 BITS_EACH = 12
 PROBES = 4
@@ -144,6 +143,7 @@ def segment_bits(keys: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
 @dataclass(frozen=True)
 class LogFilter:
     data: np.ndarray  # (SEGMENTS, bits / 8)
+    least: int = 1  # lowest level that it holds
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts by repeated membership probes."""
@@ -167,42 +167,71 @@ class Shared:
 
     words: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray
-    classes: np.ndarray  # class of each of these words
-    sizes: np.ndarray  # tokens of each class; the last two: the shared class, and starts of texts
     total: int
     kinds: int
-    rare_kinds: int
     filter: LogFilter | None = None
 
     @property
     def norm(self) -> float:
         return self.total + 0.1 * (self.kinds + 1)
 
-    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, class) of tokens; count -1 if not among the frequent words."""
-        rare = len(self.sizes) - 2
+    def codes(self, tokens: np.ndarray) -> np.ndarray:
+        """The place among the frequent words, or the hash of another word."""
+        other = tokens.view(np.int64)
         if not len(self.words):
-            return np.full(len(tokens), -1), np.full(len(tokens), rare)
+            return other
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        met = self.words[at] == tokens
-        return np.where(met, self.counts[at], -1), np.where(met, self.classes[at], rare)
+        return np.where(self.words[at] == tokens, at, other)
 
+    def frequent(self, codes: np.ndarray) -> np.ndarray:
+        return (codes >= 0) & (codes < len(self.words))
 
-def _pairs_of(classes: np.ndarray, lengths: list[int], n: int) -> np.ndarray:
-    """Keys of neighbouring classes; every text begins after the start class."""
-    before = np.empty_like(classes)
-    before[1:] = classes[:-1]
-    before[np.cumsum([0, *lengths[:-1]])] = n - 1
-    return before * n + classes
+    def counts_of(self, codes: np.ndarray) -> np.ndarray:
+        """Counts of codes, -1 if not among the frequent words."""
+        out, met = np.full(len(codes), -1, np.int64), self.frequent(codes)
+        out[met] = self.counts[codes[met]]
+        return out
+
+
+def _before(codes: np.ndarray, lengths: list[int], end: int) -> np.ndarray:
+    """The code before each; every text begins after an end token."""
+    out = np.empty_like(codes)
+    out[1:] = codes[:-1]
+    out[np.cumsum([0, *lengths[:-1]])] = end
+    return out
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of equally long columns in order, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = np.ones(len(order), bool)
+    if len(order):
+        first[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(first)
+    return [c[at] for c in columns], np.diff(at, append=len(order))
 
 
 def _pair_counts(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
+        end, many = s.codes(np.array([END], _U))[0], max(1, len(s.words))
         for _, tokens in _portions(batches):
-            pairs = _pairs_of(s.look_up(np.concatenate(tokens))[1], [len(t) for t in tokens], len(s.sizes))
-            key, n = np.unique(pairs, return_counts=True)
-            yield pd.DataFrame({"key": key.astype(np.int64), "n": n.astype(np.int64)})
+            w = s.codes(np.concatenate(tokens))
+            v = _before(w, [len(t) for t in tokens], end)
+            both = s.frequent(v) & s.frequent(w)
+            key, n = np.unique(v[both] * many + w[both], return_counts=True)
+            (rv, rw), rn = _distinct(v[~both], w[~both])
+            yield pd.DataFrame({"v": np.concatenate([key // many, rv]), "w": np.concatenate([key % many, rw]), "n": np.concatenate([n, rn]).astype(np.int64)})
+
+    return run
+
+
+def _with_counts(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = shared.value
+        for batch in batches:
+            yield batch.assign(cv=s.counts_of(batch["v"].to_numpy()), cw=s.counts_of(batch["w"].to_numpy()))
 
     return run
 
@@ -235,11 +264,14 @@ def _filter_of(pairs: DataFrame) -> LogFilter:
     data = np.zeros((SEGMENTS, bits // 8), np.uint8)
     for row in placed.mapInPandas(_segments(bits, least), "segment long, data binary").toLocalIterator():
         data[row.segment] = np.frombuffer(bytes(row.data), np.uint8)
-    return LogFilter(data)
+    return LogFilter(data, least)
 
 
-def fit(texts: DataFrame) -> tuple[Shared, DataFrame]:
-    """What workers share, and the table (word, n) of all training counts. ``texts``: a column ``text``."""
+def fit(texts: DataFrame) -> tuple[Shared, DataFrame, DataFrame]:
+    """What workers share, and the tables of all training counts: (word, n), and of pairs (v, w, n, cv, cw).
+
+    ``texts``: a column ``text``. Words of pairs are codes; cv and cw are the counts of frequent words, else -1.
+    """
     counts = texts.select("text").mapInPandas(_word_counts, "word long, n long")
     counts = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
@@ -252,53 +284,71 @@ def fit(texts: DataFrame) -> tuple[Shared, DataFrame]:
         taken, bar = taken + n, k
     top = counts.filter(step >= (bar if bar is not None else 1 << 30)).toPandas()
     words, n = top["word"].to_numpy(np.int64).view(_U), top["n"].to_numpy(np.int64)
-    order = np.lexsort((words, -n))
-    classes = np.full(len(words), min(CLASSES, len(words)), np.int64)
-    classes[order[:CLASSES]] = np.arange(min(CLASSES, len(words)))
-    own = n[order[:CLASSES]]
     by_hash = np.argsort(words)
-    starts = int(n[words == _U(END)].sum())
-    if not starts:  # the end token may be rarer than the frequent words
-        starts = int(counts.filter(F.col("word") == np.array([END], _U).view(np.int64)[0].item()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    sizes = np.array([*own, total.total - own.sum(), starts], np.float64)
-    shared = Shared(words[by_hash], n[by_hash], classes[by_hash], sizes, total.total, total.kinds, total.kinds - len(own))
+    shared = Shared(words[by_hash], n[by_hash], total.total, total.kinds)
     sent = texts.sparkSession.sparkContext.broadcast(shared)
-    pairs = texts.select("text").mapInPandas(_pair_counts(sent), "key long, n long")
-    pairs = materialize(pairs.groupBy("key").agg(F.sum("n").alias("n")))
-    return Shared(**{**shared.__dict__, "filter": _filter_of(pairs)}), counts
-
-
-def class_log(s: Shared, pairs: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before) of distinct pair keys."""
-    n = len(s.sizes)
-    before, now = pairs // n, pairs % n
-    smooth = np.where(now == n - 2, s.sizes[n - 2] + 0.1 * (s.rare_kinds + 1), s.sizes[now] + 0.1) / s.norm
-    seen = np.minimum(count_at(s.filter.levels(pairs)), s.sizes[before])
-    ratio = np.divide(seen, s.sizes[before], out=np.zeros(len(pairs)), where=s.sizes[before] > 0)
-    return np.log10(WEIGHT * ratio + (1 - WEIGHT) * np.minimum(smooth, 1.0))
+    pairs = texts.select("text").mapInPandas(_pair_counts(sent), "v long, w long, n long")
+    pairs = pairs.groupBy("v", "w").agg(F.sum("n").alias("n"))
+    pairs = written(pairs.mapInPandas(_with_counts(sent), "v long, w long, n long, cv long, cw long"))
+    near = pairs.filter("cv > 0 and cw > 0").select((F.col("v") * len(words) + F.col("w")).alias("key"), "n")
+    return Shared(**{**shared.__dict__, "filter": _filter_of(near)}), counts, pairs
+
+
+def gain_of(s: Shared, levels: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """log10 of P(w | v) over the share of the smoothed frequency in it; ``before``, ``now``: counts of v, w."""
+    share = np.minimum(count_at(levels), before) / before
+    return np.log10(1 + WEIGHT * share * s.norm / ((1 - WEIGHT) * (now + 0.1)))
+
+
+def _gains(s: Shared, counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, w, gain) of every pair that the filter does not hold."""
+    level = F.floor(F.log2(F.col("n").cast("double")) + 1e-9) + 1
+    seen = F.when(level == 1, 1.0).otherwise(0.75 * F.pow(F.lit(2.0), level))
+    share = F.least(seen, F.col("cv").cast("double")) / F.col("cv")
+    gain = F.log10(1 + WEIGHT * share * s.norm / ((1 - WEIGHT) * (F.col("cw") + 0.1)))
+    low = pairs.filter((F.col("cv") > 0) & (F.col("cw") > 0) & (level < s.filter.least))
+    rare = pairs.filter("cv < 0 or cw < 0")
+    for code, count in (("v", "cv"), ("w", "cw")):
+        known = counts.select(F.col("word").alias(code), F.col("n").alias("found"))
+        met = rare.filter(F.col(count) < 0).join(known, code).withColumn(count, F.col("found")).select(*pairs.columns)
+        rare = rare.filter(F.col(count) > 0).unionByName(met)
+    return low.unionByName(rare).select("v", "w", gain.alias("gain"))
 
 
 def _scored(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
-        n = len(s.sizes)
-        share = math.log10(s.sizes[n - 2] + 0.1 * (s.rare_kinds + 1))
+        end, many = s.codes(np.array([END], _U))[0], max(1, len(s.words))
         for rows, tokens in _portions(batches):
             lengths = [len(t) for t in tokens]
             flat = np.concatenate(tokens)
-            count, kind = s.look_up(flat)
-            pairs, back = np.unique(_pairs_of(kind, lengths, n), return_inverse=True)
-            log = class_log(s, pairs)[back]
+            w = s.codes(flat)
+            v = _before(w, lengths, end)
+            count = s.counts_of(w)
             known = count > 0
-            single = np.log10(np.maximum(count, 0) + 0.1)
-            base = np.where(known, single - math.log10(s.norm), 0.0)
-            log += np.where(known & (kind == n - 2), single - share, 0.0)
+            base = np.where(known, np.log10(np.maximum(count, 0) + 0.1) - math.log10(s.norm), 0.0)
+            both = np.flatnonzero(s.frequent(v) & known)
+            pairs, back = np.unique(v[both] * many + w[both], return_inverse=True)
+            levels = s.filter.levels(pairs)
+            held = levels >= s.filter.least
+            own = np.zeros(len(pairs))
+            own[held] = gain_of(s, levels[held], s.counts_of(pairs[held] // many), s.counts_of(pairs[held] % many))
+            gain, ask = np.zeros(len(flat)), np.ones(len(flat), bool)
+            gain[both] = own[back]
+            ask[both] = ~held[back] & (s.filter.least > 1)  # a filter of all levels knows that a pair was not met
             ends = np.cumsum(lengths)
+            place = np.repeat(np.arange(len(rows)), lengths)
+            (pr, pv, pw), pm = _distinct(place[ask], v[ask], w[ask])
+            cut = np.searchsorted(pr, np.arange(len(rows) + 1))
             out = []
-            for row, a, b in zip(rows, ends - lengths, ends):
+            for i, (row, a, b) in enumerate(zip(rows, ends - lengths, ends)):
                 rest, times = np.unique(flat[a:b][~known[a:b]], return_counts=True)
-                out.append((row.doc_id, row.held_out, b - a, int(known[a:b].sum()), math.fsum(base[a:b]), math.fsum(log[a:b]), rest.view(np.int64), times.astype(np.int64)))
-            frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "known", "base", "log", "words", "times"])
+                x = slice(cut[i], cut[i + 1])
+                out.append((
+                    row.doc_id, row.held_out, b - a, int(known[a:b].sum()), math.fsum(base[a:b]), math.fsum(gain[a:b]),
+                    rest.view(np.int64), times.astype(np.int64), pv[x], pw[x], pm[x].astype(np.int32),
+                ))
+            frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "known", "base", "gain", "words", "times", "v", "w", "met"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
@@ -313,22 +363,26 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = crc_mod(F.col("doc_id"), 10) == 0 if held_out is None else held_out
     rows = rows.withColumn("held_out", held)
-    s, counts = fit(rows.filter(~F.col("held_out")))
+    s, counts, pairs = fit(rows.filter(~F.col("held_out")))
     shared = docs.sparkSession.sparkContext.broadcast(s)
-    shape = "doc_id long, held_out boolean, n_tokens long, known long, base double, log double, words array<long>, times array<long>"
-    parts = materialize(rows.mapInPandas(_scored(shared), shape).withColumn("row", F.monotonically_increasing_id()))
+    shape = "doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, words array<long>, times array<long>, v array<long>, w array<long>, met array<int>"
+    parts = written(rows.mapInPandas(_scored(shared), shape).withColumn("row", F.monotonically_increasing_id()))
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word", "left")
     single = F.log10(F.coalesce("n", F.lit(0)) + 0.1)
-    share = math.log10(s.sizes[-2] + 0.1 * (s.rare_kinds + 1))
     rest = met.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (single - math.log10(s.norm))).alias("more_base"),
-        F.sum(F.col("times") * (single - share)).alias("more_log"),
     )
+    asked = parts.select("row", F.explode(F.arrays_zip("v", "w", "met")).alias("x")).select("row", "x.v", "x.w", "x.met")
+    gained = asked.join(_gains(s, counts, pairs), ["v", "w"]).groupBy("row").agg(F.sum(F.col("met") * F.col("gain")).alias("more_gain"))
     zero = F.lit(0.0)
-    return parts.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(s.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("log") + F.coalesce("more_log", zero)).alias("score"),
+    known = F.col("known") + F.coalesce("more_known", F.lit(0))
+    base = F.col("base") + F.coalesce("more_base", zero)
+    # every word is once the one before: a known one leaves 1 - WEIGHT to the frequency of the next
+    score = base + known * math.log10(1 - WEIGHT) + F.col("gain") + F.coalesce("more_gain", zero)
+    ends = parts.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "gain")
+    return ends.join(rest, "row", "left").join(gained, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(s.total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), score.alias("score"),
     )

@@ -98,3 +98,31 @@ def test_filter_stays_within_its_bound(spark, monkeypatch):
     assert built.data.size * 8 <= (1 << 20) + L.SEGMENTS * 1024
     keys = np.arange(60_000)
     assert (built.levels(keys[keys % 5 == 4]) >= 3).all()
+
+
+@pytest.mark.parametrize("frequent,bits", [(200_000, 1 << 10), (40, 1 << 10), (40, 1 << 27), (200_000, 1 << 15)])
+def test_score_reads_every_pair(spark, monkeypatch, frequent, bits):
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    monkeypatch.setattr(L, "MOST_BITS", bits)
+    rng = random.Random(5)
+    words = ["w%d" % int(rng.paretovariate(0.8)) for _ in range(600)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 80)))) for i in range(150)] + [(700, None), (7, "never met w1 w1 w1")]
+    ones, twos = Counter(), Counter()
+    for k, x in rows:
+        if not held(k):
+            t = tokens(x)
+            ones.update(t)
+            twos.update(zip([None, *t], t))
+    norm = sum(ones.values()) + 0.1 * (len(ones) + 1)
+
+    def log(v, w):
+        single = (ones[w] + 0.1) / norm
+        seen = min(float(L.count_at(L.level_of(twos[v, w]))), ones[v]) if twos[v, w] else 0
+        return math.log10(L.WEIGHT * seen / ones[v] + (1 - L.WEIGHT) * single if ones[v] else single)
+
+    want = sorted((k, sum(log(v, w) for v, w in zip([None, *tokens(x)], tokens(x)))) for k, x in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.score) for r in L.scored(docs.repartition(3)).collect())
+    far = np.array([g[1] - w[1] for g, w in zip(got, want)])
+    assert [g[0] for g in got] == [w[0] for w in want] and (far > -1e-8).all()  # the filter never reads too little
+    assert np.abs(far).max() < 1e-8 if bits == 1 << 10 else far.mean() < 0.5
