@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetrics.llm import bpe, chat, decontaminate, exact_dedup, lm, near_dedup, quality, secrets, suffixes, url_filter
+from aislemetrics.llm import bpe, chat, decontaminate, divergence, exact_dedup, lm, near_dedup, quality, secrets, suffixes, url_filter
 from aislemetrics.llm.common import LOWER, UPPER, crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -108,8 +108,43 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.marked(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+OP11_SQL = rf"""
+with docs as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+uses as (select doc, lang, source, unnest(terms) as term from docs),
+vocabulary as (select lang, term, count(*) as lang_n from uses group by all having count(distinct doc) >= 10),
+counts as (
+  select lang, source, term, count(*) as n, any_value(lang_n) as lang_n from uses join vocabulary using (lang, term) group by lang, source, term),
+widths as (select lang, count(*) as v, sum(lang_n) as total from vocabulary group by lang),
+groups as (
+  select lang, source, coalesce(any_value(v), 0) as v, any_value(w.total) as lang_total, coalesce(sum(n), 0) as total
+  from (select distinct lang, source from docs) left join widths w using (lang) left join counts using (lang, source) group by lang, source),
+cells as (
+  select g.lang, g.source, w.term, coalesce(c.n, 0) as n,
+    1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) as p,
+    1 + 1000000000::hugeint * (w.lang_n + 2) // (g.lang_total + 2 * g.v) as q
+  from groups g join vocabulary w using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = w.term),
+apart as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+rows as (
+  select lang, source, 'pair' as part, item, value from pairs union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from cells where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from rows)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 10"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_bpe_round_trip, op3_url_language_model, op4_secret_scan, op5_quotation_linking, op6_log_bloom_lm,
-    op7_exact_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_template_decontamination,
+    op7_exact_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_template_decontamination, op11_source_divergence,
 )}
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
+ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL}
