@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetrics.llm import bpe, chat, decontaminate, divergence, exact_dedup, lm, near_dedup, quality, secrets, suffixes, url_filter
+from aislemetrics.llm import bpe, chat, decontaminate, divergence, exact_dedup, lm, near_dedup, quality, secrets, suffixes, trie, url_filter, warc
 from aislemetrics.llm.common import LOWER, UPPER, crc_mod, table
+from aislemetrics.session import scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 ALLOW = ["org/", "com/fr/"]
@@ -143,8 +144,70 @@ ranked as (select *, row_number() over (partition by lang, source, part order by
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 10"""
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+CRC32_OF_C = """xor(list_reduce(list_prepend(4294967295::bigint, [ascii(x)::bigint for x in string_split(c::varchar, '')]),
+    lambda v, b: list_reduce(list_prepend(xor(v, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+    lambda w, z: xor(w >> 1, 3988292384 * (w & 1)))), 4294967295)"""
+
+OP12_SQL = rf"""
+with told as (
+  select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations where conv_id is not null),
+turns as (
+  select c, role, body, row_number() over (partition by c order by turn nulls first, sha256(concat(strlen(role), ':', role, body))) as i from told),
+cuts as (select c, c - c % 20 as b, {CRC32_OF_C} % 4 as h from (select distinct c from told)),
+plans as (
+  select cuts.*, least(h, coalesce(n, 0)) as k from cuts left join (select c, count(*) as n from turns group by c) s on s.c = cuts.b),
+rebuilt as (
+  select p.c, i as d, role, body from plans p join turns t on t.c = p.b and t.i <= p.h union all
+  select p.c, i - h + k, role, body from plans p join turns t on t.c = p.c and t.i > p.h),
+spots as (
+  select c, d, body, sha256(string_agg(concat(strlen(role), ':', role, strlen(body), ':', body), '') over (partition by c order by d)) as path
+  from rebuilt union all select c, 0, '', '' from plans),
+nodes as (
+  select d, path, min(c) as conv_id, count(*) as n, len(regexp_extract_all(any_value(body), '[^\x20\x09-\x0D]+')) as words
+  from spots group by d, path),
+walks as (
+  select c, d, conv_id, n, words, lag(conv_id) over (partition by c order by d) as up, d = max(d) over (partition by c) as ends
+  from spots join nodes using (d, path)),
+pairs as (select distinct a.d, a.conv_id, b.d as bd, b.conv_id as bc, b.n, b.words from walks a join walks b on a.c = b.c and b.d >= a.d),
+inner_nodes as (select distinct d, conv_id from pairs where bd = d + 1),
+below as (
+  select p.d, p.conv_id, count(*) filter (bd = p.d + 1) as n_children, count(*) filter (i.d is null) as n_leaves, sum((n - 1) * words) as saved
+  from pairs p left join inner_nodes i on i.d = p.bd and i.conv_id = p.bc group by 1, 2),
+ended as (select d, conv_id, sha256(string_agg(c::varchar, ',' order by c)) as ids from walks where ends group by d, conv_id)
+select w.conv_id, cast(w.d as bigint) as depth, w.up as parent_conv_id, w.n as n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens,
+  coalesce(ids, sha256('')) as ends_sha256
+from walks w join below on below.d = w.d and below.conv_id = w.conv_id left join ended e on e.d = w.d and e.conv_id = w.conv_id
+where w.c = w.conv_id"""
+
+
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    back = warc.read(warc.write(pages, scratch_path(spark, "warc")))
+    kind = pages.schema["page_id"].dataType
+    return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
+OP13_SQL = """
+with told as (select row_number() over () as i, page_id, coalesce(html, '') as body from pages),
+payloads as (select i, page_id, strlen(body) as n, sha256(body) as digest from told),
+placed as (
+  select *, row_number() over same as place, count(*) over (partition by digest) as copies, first_value(page_id) over same as first_id
+  from payloads window same as (partition by digest order by page_id nulls last, i))
+select page_id, n as payload_bytes, digest as payload_digest, if(n < 100 or place = 1, 'response', 'revisit') as record_type,
+  if(n < 100 or place = 1, null, first_id) as refers_to
+from placed"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_bpe_round_trip, op3_url_language_model, op4_secret_scan, op5_quotation_linking, op6_log_bloom_lm,
-    op7_exact_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_template_decontamination, op11_source_divergence,
+    op7_exact_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_template_decontamination, op11_source_divergence, op12_conversation_trie,
+    op13_warc_archive,
 )}
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL}
+ORACLE_SQL = {
+    "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_conversation_trie": OP12_SQL,
+    "op13_warc_archive": OP13_SQL,
+}
