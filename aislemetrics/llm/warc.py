@@ -135,7 +135,7 @@ class _Archive:
     def _begin(self) -> None:
         dictionary = build_dictionary(self.held)
         place, root = opened(self.path)
-        self.sink = place.open_output_stream(root)
+        self.sink = place.open_output_stream(root, compression=None)
         self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
         raw = dictionary.as_bytes()
         self.written += self.sink.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
@@ -229,7 +229,7 @@ _READ = "page_id string, url string, record_id string, payload_bytes long, paylo
 def _read(keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(path: str) -> Iterator[tuple]:
         place, file = opened(path)
-        with place.open_input_stream(file) as source:
+        with place.open_input_stream(file, compression=None) as source:
             for data in records_of(source):
                 fields, block = parse_record(data)
                 if fields["warc-type"] == "warcinfo":
