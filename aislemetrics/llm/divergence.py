@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import written
+from aislemetrics.llm.common import BROADCAST_BYTES, written
 
 LEAST_DOCS = 10  # documents of a language that hold a kept term
 TOP_TERMS = 10
@@ -189,16 +189,17 @@ def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _pairs(nonzeros: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value) of every unordered pair of sources of a language."""
-    block = F.expr("pmod(xxhash64(source), blocks)").cast("int")
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
-    placed = nonzeros.join(blocks, "lang").withColumn("block", block)
-    load = placed.groupBy("lang", "block").count().groupBy("lang").agg(F.ceil(F.max("count") / CELL).cast("int").alias("slices"))
-    shape = blocks.join(load, "lang", "left").select("lang", "blocks", F.coalesce("slices", F.lit(1)).alias("slices"))
-    cells = placed.join(shape.drop("blocks"), "lang").select(
+    load = nonzeros.groupBy("lang", "block").count().groupBy("lang").agg(F.ceil(F.max("count") / CELL).cast("int").alias("slices"))
+    shape = groups.groupBy("lang").agg(F.max("blocks").alias("blocks")).join(load, "lang", "left")
+    shape = written(shape.select("lang", "blocks", F.coalesce("slices", F.lit(1)).alias("slices")))
+    # joined by language, a few hot keys; with so many languages that this is large, none of them is hot
+    if shape.count() * 64 <= BROADCAST_BYTES:
+        shape = F.broadcast(shape)
+    cells = nonzeros.join(shape, "lang").select(
         "lang", "blocks", "block", F.expr("pmod(xxhash64(term_id), slices)").cast("int").alias("slice"), "group_id", "term_id", "p"
     )
-    marks = groups.join(shape, "lang").select(
-        "lang", "blocks", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+    marks = groups.drop("blocks").join(shape, "lang").select(
+        "lang", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
         "group_id", F.lit(-1).cast("long").alias("term_id"), F.col("p0").alias("p"),
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -229,11 +230,13 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(widths, "lang", "left")
     groups = groups.na.fill(0, ["total", "width", "lang_total"]).withColumn("group_id", F.monotonically_increasing_id())
-    groups = written(groups.withColumn("p0", _share("0", "total", "width")))
+    blocks = counts.filter("term is null").groupBy("lang").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+    groups = groups.join(blocks, "lang").withColumns({"p0": _share("0", "total", "width"), "block": F.expr("pmod(xxhash64(source), blocks)").cast("int")})
+    groups = written(groups)
 
-    shares = kept.join(groups.select("lang", "source", "total", "width", "lang_total", "group_id"), ["lang", "source"])
+    shares = kept.join(groups.select("lang", "source", "total", "width", "lang_total", "group_id", "block"), ["lang", "source"])
     shares = shares.withColumn("p", _share("n", "total", "width")).withColumn("q", _share("lang_n", "lang_total", "width"))
-    pairs = written(_pairs(shares.select("lang", "source", "group_id", "term_id", "p"), groups))
+    pairs = written(_pairs(shares.select("lang", "block", "group_id", "term_id", "p"), groups))
     both = pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(
         pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value")
     )
