@@ -185,7 +185,8 @@ def _words_of(text: str | None) -> list[str]:
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counts = Counter(w for text in batch["text"] for w in _words_of(text))
-        yield pd.DataFrame({"word": list(counts), "n": np.array(list(counts.values()), np.int64)})
+        # named object, as an empty list would make a column of floats
+        yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": np.array(list(counts.values()), np.int64)})
 
 
 def _contexts(chosen):

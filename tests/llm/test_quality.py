@@ -63,3 +63,10 @@ def test_long_tokens_count_whole():
     assert np.allclose(got[Q.DIM :], want, atol=1e-6)
     assert Q.shape_of("x" * 70 + "9") == "x9" and Q.tokens_of("a " + "b" * 130) == ["a", "b" * 64, "b" * 64, "bb"]
     assert not np.allclose(pool(start)[Q.DIM :], got[Q.DIM :])
+
+
+def test_batches_without_words(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = Q.fit(docs, labels, F.lit(True))
+    assert len({r[0] for r in docs.select(Q.quality_score(spark, model)("text")).collect()}) == 1
