@@ -66,46 +66,32 @@ def by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield parts[0]
 
 
-def _compressed(parent: DataFrame) -> DataFrame:
-    """Every ``id`` of a forest with its root: parents are doubled until no chain is left."""
-    while True:
-        up = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        parent = materialize(
-            parent.join(up, "root", "left").select(
-                "id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
-            )
-        )
-        if parent.filter("moved").isEmpty():
-            return parent.select("id", "root")
+def _sorted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A sort-merge join: loops would fill the driver with broadcast tables, and adaptive execution splits hot keys."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of ``edges`` (a, b): root is the smallest id of its component.
 
-    Each round hooks a root to its smallest neighbouring root, flattens the forest by doubling and
-    contracts the edges, all as joins of written tables, so that adaptive execution can split a node
-    with very many edges. Rounds grow with the logarithm of the longest chain.
+    Links point from larger to smaller ids, and two steps alternate: each link's lower end moves on to
+    the smallest id that it is linked to itself (large star), then all lower ends of a node are linked
+    to the smallest of them (small star). The links end as stars around the roots, after a number of
+    rounds that grows with the logarithm of the longest chain. A step is one join of written tables.
     """
     edges = edges.filter("a is not null and b is not null and a <> b")
     links = materialize(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    labels = None
-    while not links.isEmpty():
-        hooks = materialize(links.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("root")))
-        hooks = _compressed(hooks)
-        if labels is None:
-            labels = hooks
-        else:
-            up = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            moved = labels.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-            labels = materialize(moved.unionByName(hooks.join(labels, "id", "left_anti").select("id", "root")))
-        a = hooks.select(F.col("id").alias("hi"), F.col("root").alias("ra"))
-        b = hooks.select(F.col("id").alias("lo"), F.col("root").alias("rb"))
-        near = links.join(a, "hi", "left").join(b, "lo", "left")
-        ra, rb = F.coalesce("ra", "hi"), F.coalesce("rb", "lo")
-        links = materialize(
-            near.select(F.greatest(ra, rb).alias("hi"), F.least(ra, rb).alias("lo")).filter("hi <> lo").distinct()
-        )
-    if labels is None:
-        return edges.select(F.col("a").alias("id"), F.col("a").alias("root"))
-    roots = labels.select(F.col("root").alias("id"), "root").distinct()
-    return labels.unionByName(roots.join(labels, "id", "left_anti").select("id", "root"))
+    before = None
+    while True:
+        state = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20)"))).first()
+        if state == before or state[0] == 0:
+            break
+        before = state
+        least = links.groupBy("hi").agg(F.min("lo").alias("least"))
+        moved = _sorted_join(links, least.withColumnRenamed("hi", "lo"), "lo", "left")
+        links = materialize(moved.select("hi", F.coalesce("least", "lo").alias("lo")).distinct())
+        least = links.groupBy("hi").agg(F.min("lo").alias("least"))
+        sides = _sorted_join(links, least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).filter("hi <> lo")
+        links = materialize(sides.unionByName(least.withColumnRenamed("least", "lo")).distinct())
+    stars = links.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
+    return stars.unionByName(links.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct())
