@@ -80,7 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Shuffles ids and fingerprints of all rows, and texts only of rows whose fingerprint occurs twice.
     A large group is compared in cells of ``CELL`` members, each with its own copy of the
-    representative's chunks. A member that differs from its representative falls back to its SHA-256.
+    representative's chunks. A group in which a member differs from it falls back to SHA-256 as a whole.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = source.withColumn("fp", _marks(primes)("text"))
@@ -88,11 +88,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fp = ["h1", "h2", "n"]
     groups = marks.groupBy(*fp).agg(F.count("*").alias("size"), F.max("doc_id").alias("rep_id"))
     twice = materialize(groups.filter("size > 1"))
-    differs = materialize(_compared(marked, twice, fp).filter("not same").select(*[F.col(c).alias("d_" + c) for c in (*fp, "doc_id")]))
+    differs = materialize(_compared(marked, twice, fp).filter("not same").select(*[F.col(c).alias("d_" + c) for c in fp]))
     if differs.isEmpty():
         verdict = marks.withColumn("other", F.lit(None).cast("string"))
     else:
-        match = F.col("doc_id").eqNullSafe(F.col("d_doc_id"))
+        match = F.lit(True)
         for c in fp:
             match &= F.col(c) == F.col("d_" + c)
         verdict = marks.join(differs, match, "left").withColumn("other", F.when(F.col("d_n").isNotNull(), F.col("sha")))
@@ -113,29 +113,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _compared(marked: DataFrame, twice: DataFrame, fp: list[str]) -> DataFrame:
-    """(h1, h2, n, doc_id, same) of every member of a group: is its text that of the representative?
-
-    The representative is compared with itself too: if rows of one id differ, none of them agrees
-    with all of the others, and the whole group falls back to SHA-256.
-    """
+    """(h1, h2, n, same) of every group: do all its texts equal that of the representative, a row with the largest id?"""
     small = twice.count() * 48 <= BROADCAST_BYTES
     rows = marked.select("text", "doc_id", "fp.h1", "fp.h2", "fp.n")
     members = rows.join(F.broadcast(twice) if small else twice, fp)
     cells = F.ceil(F.col("size") / CELL).cast("int")
-    # written once, as both sides of the comparison read it
-    members = materialize(members.select("doc_id", "rep_id", cells.alias("cells"), *fp, F.encode(ascii_lower(F.col("text")), "utf-8").alias("data")))
+    # written once, as both sides of the comparison read it, and rows keep their numbers
+    members = materialize(members.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").eqNullSafe(F.col("rep_id")).alias("top"),
+        cells.alias("cells"), *fp, F.encode(ascii_lower(F.col("text")), "utf-8").alias("data"),
+    ))
     step = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / CHUNK).cast("int")), lambda i: i * CHUNK)
     pieces = F.transform(step, lambda at: F.substring(F.col("data"), at + 1, F.lit(CHUNK)))
-    members = members.select("doc_id", "rep_id", "cells", *fp, pieces.alias("pieces"))
-    cell = F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")
-    left = members.select("doc_id", *fp, cell.alias("cell"), F.posexplode("pieces").alias("seq", "piece"))
-    right = (
-        members.filter(F.col("doc_id").eqNullSafe(F.col("rep_id")))
-        .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        .select(*fp, "cell", F.posexplode("pieces").alias("seq", "rep_piece"))
-    )
+    first = members.filter("top").groupBy(*fp).agg(F.min("row").alias("row"))
+    left = members.select(*fp, F.pmod(F.xxhash64("row"), F.col("cells")).cast("int").alias("cell"), F.posexplode(pieces).alias("seq", "piece"))
+    right = members.join(first, [*fp, "row"], "left_semi").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    right = right.select(*fp, "cell", F.posexplode(pieces).alias("seq", "rep_piece"))
     pairs = left.join(right, [*fp, "cell", "seq"])
-    return pairs.groupBy(*fp, "doc_id").agg(F.every(F.col("piece") == F.col("rep_piece")).alias("same"))
+    return pairs.groupBy(*fp).agg(F.every(F.col("piece") == F.col("rep_piece")).alias("same"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,6 +60,17 @@ def test_colliding_fingerprints_are_told_apart(spark):
     check(X.exact_groups(docs, primes=(3, 2)))
 
 
+def test_equal_rows_make_no_pairs(spark):
+    """Equal texts under one id, or under none, meet one representative each."""
+    docs = spark.createDataFrame([(7, "same")] * 300 + [(None, "none")] * 300, "doc_id long, text string")
+    marked = docs.withColumn("fp", X._marks(X.PRIMES)("text"))
+    groups = marked.groupBy("fp.h1", "fp.h2", "fp.n").agg(X.F.count("*").alias("size"), X.F.max("doc_id").alias("rep_id"))
+    pairs = X._compared(marked, groups, ["h1", "h2", "n"])
+    assert [r.same for r in pairs.collect()] == [True, True]
+    got = X.exact_groups(docs).groupBy("group_size", "kept").count().collect()
+    assert sorted(tuple(r) for r in got) == [(300, False, 598), (300, True, 2)]
+
+
 def test_rows_that_stay(spark):
     docs = spark.createDataFrame([*ROWS, (None, "q"), (None, "r")], "doc_id long, text string").selectExpr("*", "'a' as lang")
     left = X.without_copies(docs)
