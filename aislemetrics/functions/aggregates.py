@@ -59,7 +59,7 @@ def describe(df: DataFrame, columns: Sequence[str], with_quartiles: bool = True)
     if not with_quartiles:
         return stats
     long = data.unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull())
-    return stats.join(quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"]), "column")
+    return stats.join(quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], groups=len(columns)), "column")
 
 
 def numbers_by(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], medians: dict[str, str] | None = None) -> DataFrame:

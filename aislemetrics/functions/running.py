@@ -1,4 +1,4 @@
-"""Running totals and exact quantiles that never sort a whole table in one task."""
+"""Running totals, and exact quantiles by distributed selection; neither sorts a whole table in one task."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from ..session import materialize, scalar_row
 from .columns import col, has_keys
 
 _PART = "_range_part"
+ACCURACY = 10_000  # of the sketch that brackets a quantile
+SMALL = 20_000  # rows of a group that are all candidates
+BROADCAST_BYTES = 32 << 20
 
 
 def running_totals(
@@ -53,33 +56,42 @@ def running_totals(
     )
 
 
-def value_counts_running(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values per group with their count, running count and group total.
+def _brackets(data: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Per group: its size and, for each probability, two values that hold the wanted ranks between them.
 
-    Counting first means a hot group is spread over the reducers by value.
+    The values come from a quantile sketch of relative error ``1 / ACCURACY``; four times that on
+    either side leaves slack. Small groups get their ends, so that all their values are candidates.
     """
-    counts = (
-        has_keys(df, *by)
-        .select(*by, col(value).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    return running_totals(counts, ["_v"], {"_n": F.col("_n")}, by)
-
-
-def _picks(probs: Sequence[float], names: Sequence[str]) -> tuple[list[Column], list[Column]]:
-    wanted, results = [], []
-    before = F.col("_n_running") - F.col("_n")
-    for p, name in zip(probs, names):
-        place = F.lit(float(p)) * (F.col("_n_total") - 1)
-        for side, spot in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            hit = (before <= spot) & (spot < F.col("_n_running"))
-            wanted.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}_{name}"))
-        wanted.append(F.max(place - F.floor(place)).alias(f"_f_{name}"))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        results.append((lo + (hi - lo) * F.col(f"_f_{name}")).alias(name))
-    return wanted, results
+    margin = 4 / ACCURACY
+    spots = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = F.percentile_approx("_v", [float(x) for x in spots], ACCURACY)
+    known = data.groupBy(*by).agg(F.count("_v").alias("_size"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_at"))
+    few = F.col("_size") <= SMALL
+    ends = []
+    for i, p in enumerate(probs):
+        ends.append(F.when(few | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col("_at")[2 * i]).alias(f"_lo{i}"))
+        ends.append(F.when(few | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_at")[2 * i + 1]).alias(f"_hi{i}"))
+    return known.select(*by, "_size", *ends)
+
+
+def _candidates(data: DataFrame, probs: Sequence[float], by: Sequence[str], groups: int | None) -> DataFrame:
+    """Counts of the values inside the brackets, and of all rows between two brackets as one."""
+    ends = _brackets(data, probs, by)
+    names = ["_size", *[f"_{side}{i}" for i in range(len(probs)) for side in ("lo", "hi")]]
+    if not by:
+        row = scalar_row(ends)
+        placed = data.withColumns({n: row[n] for n in names})
+    else:
+        if groups is None:
+            ends = materialize(ends)  # a row per group; read again below
+            groups = ends.count()
+        placed = data.join(F.broadcast(ends) if groups * 24 * (len(names) + len(by)) <= BROADCAST_BYTES else ends, list(by))
+    inside, passed = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        inside |= (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
+        passed += (F.col("_v") > F.col(f"_hi{i}")).cast("int")
+    placed = placed.select(*by, "_size", "_v", F.when(inside, F.col("_v")).alias("_c"), F.when(~inside, passed).alias("_gap"))
+    return placed.groupBy(*by, "_c", "_gap").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_first"), F.min("_size").alias("_size"))
 
 
 def quantiles(
@@ -88,22 +100,33 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     by: Sequence[str] = (),
+    groups: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group (one row without ``by``).
 
-    Spark's ``percentile`` keeps all distinct values of a group in one aggregation buffer; this
-    form has no such buffer, so neither the table nor one group has to fit in a task.
+    Selection instead of sorting: a sketch gives two values around each wanted rank, one counting
+    pass counts the rows between these brackets as a whole and the few inside them by value, and only
+    the latter are put in order (``8 / ACCURACY`` of a group for each probability; groups of up to
+    ``SMALL`` rows whole). Both passes combine in the map tasks, so a hot group is no hot task. A rank
+    outside its bracket would be an error of the sketch and raises. ``groups``: a bound of the number
+    of groups, if known; else they are counted, to broadcast the brackets only if they are small.
     """
-    return quantiles_of_counts(value_counts_running(df, value, by), probs, names, by)
-
-
-def quantiles_of_counts(
-    counts: DataFrame, probs: Sequence[float], names: Sequence[str] | None = None, by: Sequence[str] = ()
-) -> DataFrame:
-    """:func:`quantiles` from the output of :func:`value_counts_running`."""
     names = list(names or [f"q{round(p * 100):02d}" for p in probs])
-    wanted, results = _picks(probs, names)
-    picked = counts.groupBy(*by).agg(*wanted) if by else counts.agg(*wanted)
+    data = has_keys(df, *by).select(*by, col(value).alias("_v")).where(F.col("_v").isNotNull())
+    ordered = Window.partitionBy(*by).orderBy("_first").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _candidates(data, probs, by, groups).withColumn("_upto", F.sum("_n").over(ordered))
+    before = F.col("_upto") - F.col("_n")
+    picks, results = [], []
+    for p, name in zip(probs, names):
+        place = F.lit(float(p)) * (F.col("_size") - 1)
+        for side, spot in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when((before <= spot) & (spot < F.col("_upto")), F.col("_c"))).alias(f"_{side}_{name}"))
+        picks.append(F.max(place - F.floor(place)).alias(f"_f_{name}"))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        lost = F.col(f"_f_{name}").isNotNull() & (lo.isNull() | hi.isNull())
+        exact = lo + (hi - lo) * F.col(f"_f_{name}")
+        results.append(F.when(lost, F.raise_error(F.lit(f"rank of {name} outside its bracket")).cast("double")).otherwise(exact).alias(name))
+    picked = ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)
     return picked.select(*by, *results)
 
 
@@ -118,7 +141,7 @@ def quantiles_row(df: DataFrame, columns: Sequence[str], prob: float = 0.5) -> C
     The columns share one counting pass. ``df`` should be a few kept rows; it is read once.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "_column", "_value")
-    each = quantiles(long, "_value", [prob], ["_q"], by=["_column"])
+    each = quantiles(long, "_value", [prob], ["_q"], by=["_column"], groups=len(columns))
     return scalar_row(each.agg(*[F.max(F.when(F.col("_column") == c, F.col("_q"))).alias(c) for c in columns]))
 
 

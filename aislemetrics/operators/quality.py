@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import describe
-from ..functions.columns import numeric_columns, require, text_columns
-from ..functions.running import quantiles_of_counts, value_counts_running
+from ..functions.columns import has_keys, numeric_columns, require, text_columns
+from ..functions.running import quantiles
 from ..session import scalar_row
 
 
@@ -158,23 +158,24 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, column: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (last values within ``reach`` quartile ranges) and outliers per group."""
-    counts = value_counts_running(df, column, [group])
-    quarts = quantiles_of_counts(counts, [0.25, 0.5, 0.75], ["q25", "median", "q75"], [group])
+    quarts = quantiles(df, column, [0.25, 0.5, 0.75], ["q25", "median", "q75"], [group])
     low = F.col("q25") - reach * (F.col("q75") - F.col("q25"))
     high = F.col("q75") + reach * (F.col("q75") - F.col("q25"))
-    inside = (F.col("_v") >= low) & (F.col("_v") <= high)
+    value = F.col(column)
+    inside = (value >= low) & (value <= high)
+    # counted by value first: ends and outliers follow from the few values of a group
+    counts = has_keys(df, group).where(value.isNotNull()).groupBy(group, column).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        counts.select(group, "_v", "_n")
-        .join(quarts, group)
+        counts.join(quarts, group)
         .groupBy(group)
         .agg(
-            F.min("_v").alias("min"),
+            F.min(value).alias("min"),
             F.first("q25").alias("q25"),
             F.first("median").alias("median"),
             F.first("q75").alias("q75"),
-            F.max("_v").alias("max"),
-            F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+            F.max(value).alias("max"),
+            F.min(F.when(inside, value)).alias("whisker_low"),
+            F.max(F.when(inside, value)).alias("whisker_high"),
             F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),
         )
     )

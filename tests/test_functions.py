@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from aislemetrics.functions import columns as cols
 from aislemetrics.functions.aggregates import correlation, describe, key_of_max, variation
 from aislemetrics.functions.pvalues import f_pvalue, incomplete_beta, t_pvalue
+from aislemetrics.functions import running
 from aislemetrics.functions.running import cumulative_share, quantiles, running_totals
 
 
@@ -98,6 +99,34 @@ def test_quantiles_match_numpy(spark):
     assert np.allclose([whole["q25"], whole["q75"]], np.quantile(pdf["x"], [0.25, 0.75]))
 
 
+@pytest.mark.parametrize("small, accuracy", [(0, 50), (0, 1000), (100, 200)])
+def test_quantiles_by_selection(spark, monkeypatch, small, accuracy):
+    """Brackets that hold few rows, ties over bracket ends, a group of one value, hot and tiny groups."""
+    monkeypatch.setattr(running, "SMALL", small)
+    monkeypatch.setattr(running, "ACCURACY", accuracy)
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": np.where(rng.random(6000) < 0.5, 0, rng.integers(1, 5, 6000)), "x": rng.gamma(0.3, 100, 6000).round(1)})
+    pdf.loc[pdf["g"] == 3, "x"] = 7.5
+    pdf = pd.concat([pdf, pd.DataFrame({"g": [9, 10, 10], "x": [1.0, -2.0, 5.0]})])
+    df = spark.createDataFrame(pdf).repartition(5).union(spark.createDataFrame([(0, None), (11, None)], "g long, x double"))
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    got = quantiles(df, "x", probs, ["a", "b", "c", "d", "e"], ["g"]).toPandas().set_index("g")
+    assert set(got.index) == set(pdf["g"])
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(got.loc[g].tolist(), np.quantile(part["x"], probs))
+    assert np.allclose(list(one(quantiles(df, "x", probs, list("abcde")))), np.quantile(pdf["x"], probs))
+
+
+def test_selection_sorts_and_writes_no_column(spark):
+    df = spark.range(100_000).select((F.col("id") % 7).alias("g"), F.xxhash64("id").cast("double").alias("x"))
+    for got in (quantiles(df, "x", [0.5]), quantiles(df, "x", [0.5], by=["g"], groups=7)):
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan and "CartesianProduct" not in plan
+    candidates = running._candidates(df.select(F.col("x").alias("_v")), [0.5], [], None)
+    assert 1 < candidates.where("_c is not null").count() < 200
+
+
 def test_aggregates_on_odd_groups(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 5.0, 1.0), (None, 9.0, 9.0)], "g string, x double, y double")
     got = {r["g"]: r for r in df.groupBy("g").agg(correlation(F.col("x"), F.col("y")).alias("r"), variation("x").alias("cv")).collect()}
