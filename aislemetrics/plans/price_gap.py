@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import WEEK_SHIFT, clean_upc, equalised, market_name_excluded, short_week_text
+from ..functions.prefilter import with_known_keys
 from ..session import materialize, scalar_row
 from ..sources.files import read_delimited, save_table
 
@@ -263,9 +264,11 @@ def market_clean(market: DataFrame) -> DataFrame:
     kept = market.where(
         ~market_name_excluded(F.col("market_description"), LEFT_OUT_MARKETS) & F.col("period_description").isNotNull()
     )
-    return kept.groupBy(
-        "promo_yr_wk", "region", "market_description", "period_description", clean_upc(F.col("upc")).alias("market_upc")
-    ).agg(*[F.sum(F.col(m).try_cast("double")).alias(m) for m in MEASURES])
+    # the exchange serves this aggregation, which barely reduces the rows, and those by fewer keys that follow
+    placed = kept.withColumn("market_upc", clean_upc(F.col("upc"))).repartition("promo_yr_wk", "region", "market_upc")
+    return placed.groupBy("promo_yr_wk", "region", "market_description", "period_description", "market_upc").agg(
+        *[F.sum(F.col(m).try_cast("double")).alias(m) for m in MEASURES]
+    )
 
 
 def market_mapped(clean: DataFrame, upc_map: DataFrame) -> DataFrame:
@@ -367,6 +370,17 @@ def market_rows_read(market: DataFrame) -> DataFrame:
     return market.where(reduce(or_, [name.like(LEVELS[a]) & period.like(PERIODS[b]) for a, b in used]))
 
 
+def market_of_own_items(market: DataFrame, upc_map: DataFrame, volume: DataFrame) -> DataFrame:
+    """Feed rows whose UPC may belong to an item with own sales, told before the feed is shuffled.
+
+    Exact before :func:`attach_market`, which looks up own items only: shares of a UPC come from the
+    map, so they do not change. The filter may let other rows pass.
+    """
+    own = volume.select(F.col("upc_nbr").cast("bigint").alias("_own")).distinct()
+    wanted = upc_map.select("market_upc", F.col("own_upc").try_cast("bigint").alias("_own")).join(own, "_own", "left_semi")
+    return with_known_keys(market, clean_upc(F.col("upc")), wanted.select("market_upc"))
+
+
 # ---- merge -----------------------------------------------------------------
 
 def _upper_region(df: DataFrame) -> DataFrame:
@@ -396,7 +410,9 @@ def attach_prices(rolled: DataFrame, own: DataFrame, competitor: DataFrame) -> D
     keys = ["week", "_region", "group_code"]
     own = own.select("week", F.upper("region").alias("_region"), "group_code", "own_live", "own_reg")
     competitor = competitor.select("week", F.upper("region").alias("_region"), "group_code", "comp_live", "comp_reg")
-    return _upper_region(rolled).join(own, keys, "left").join(competitor, keys, "left").drop("_region").distinct()
+    # the left side is grouped and the price sides are made distinct, so the joined rows are distinct
+    joined = _upper_region(rolled).join(own.distinct(), keys, "left").join(competitor.distinct(), keys, "left")
+    return joined.drop("_region")
 
 
 def infer_competitor(priced: DataFrame) -> DataFrame:
@@ -598,7 +614,12 @@ class PriceGapPlan:
     by_period = cached_property(lambda s: market_by_period(s.by_level))
     pivoted = cached_property(lambda s: market_pivot(s.clean, s.inputs.upc_map))
     market_read = cached_property(
-        lambda s: materialize(market_pivot(market_clean(market_rows_read(s.inputs.market)), s.inputs.upc_map))
+        lambda s: materialize(
+            market_pivot(
+                market_clean(market_of_own_items(market_rows_read(s.inputs.market), s.inputs.upc_map, s.volume_levels)),
+                s.inputs.upc_map,
+            )
+        )
     )
     attached = cached_property(lambda s: attach_market(s.volume_levels, s.market_read))
     rolled = cached_property(lambda s: roll_up_upcs(s.attached))

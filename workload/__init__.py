@@ -11,6 +11,7 @@ from workload import (  # noqa: E402
     primitives,
     quality,
     sales,
+    sketches,
     stats,
     streaming,
     timeseries,
