@@ -203,13 +203,17 @@ def own_prices(prices: DataFrame, groups: DataFrame, after: Column) -> DataFrame
     return kept.join(codes, "item_nbr", "left")
 
 
-def modal_prices(prices: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Most frequent price pair per week and group, by region and nationally.
+def pair_counts(prices: DataFrame, values: Sequence[str]) -> DataFrame:
+    """How often each price pair occurs per week, region and group."""
+    return prices.groupBy("week", "region", "group_code", *values).agg(F.count(F.lit(1)).alias("n"))
+
 
-    Ties go to the smallest pair, NULL first. Pairs are counted first; the national count adds the
-    regional counts, and ``min`` over (-count, pair) needs no sort.
+def modal_pairs(counted: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Most frequent price pair per week and group, by region and nationally, from :func:`pair_counts`.
+
+    Ties go to the smallest pair, NULL first. The national count adds the regional counts, and
+    ``min`` over (-count, pair) needs no sort.
     """
-    counted = prices.groupBy("week", "region", "group_code", *values).agg(F.count(F.lit(1)).alias("n"))
     rest = ["week", "group_code", *values]
     both = counted.groupingSets([["region", *rest], rest], "region", *rest).agg(
         F.grouping("region").alias("_total"), F.sum("n").alias("n")
@@ -221,6 +225,10 @@ def modal_prices(prices: DataFrame, values: Sequence[str]) -> DataFrame:
     return best.select("week", named.alias("region"), "group_code", *[F.col("best")[v].alias(v) for v in values])
 
 
+def modal_prices(prices: DataFrame, values: Sequence[str]) -> DataFrame:
+    return modal_pairs(pair_counts(prices, values), values)
+
+
 def competitor_prices(feed: DataFrame, groups: DataFrame, after: Column, distinct: bool = True) -> DataFrame:
     """Equalised competitor prices after a week, with the group code of the old item number.
 
@@ -614,6 +622,10 @@ class PriceGapPlan:
     by_period = cached_property(lambda s: market_by_period(s.by_level))
     pivoted = cached_property(lambda s: market_pivot(s.clean, s.inputs.upc_map))
     market_read = cached_property(
+        lambda s: materialize(market_pivot(market_clean(market_rows_read(s.inputs.market)), s.inputs.upc_map))
+    )
+    # the same for items with own sales only, which is all that is attached
+    market_own = cached_property(
         lambda s: materialize(
             market_pivot(
                 market_clean(market_of_own_items(market_rows_read(s.inputs.market), s.inputs.upc_map, s.volume_levels)),
@@ -621,7 +633,7 @@ class PriceGapPlan:
             )
         )
     )
-    attached = cached_property(lambda s: attach_market(s.volume_levels, s.market_read))
+    attached = cached_property(lambda s: attach_market(s.volume_levels, s.market_own))
     rolled = cached_property(lambda s: roll_up_upcs(s.attached))
     priced = cached_property(lambda s: attach_prices(s.rolled, s.own_modal, s.competitor_modal))
     inferred = cached_property(lambda s: infer_competitor(s.priced))

@@ -58,11 +58,21 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, through Spark's file systems; nothing happens if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _clear_scratch() -> None:
     with contextlib.suppress(Exception):  # the session may be gone already
         for spark, path in _scratch:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            remove_path(spark, path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -14,5 +14,6 @@ from workload import (  # noqa: E402
     sketches,
     stats,
     streaming,
+    tables,
     timeseries,
 )
