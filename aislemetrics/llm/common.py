@@ -47,23 +47,29 @@ def written(df: DataFrame) -> DataFrame:
 
 def by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups from batches that arrive sorted by ``keys``."""
-    parts: list[pd.DataFrame] = []
+    parts: list[pd.DataFrame] = []  # of the group that is not ended; put together once, at its end
+
+    def whole() -> pd.DataFrame:
+        return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
     for batch in batches:
         if not len(batch):
             continue
-        if parts:
-            batch = pd.concat([*parts, batch], ignore_index=True)
-        codes = np.zeros(len(batch), bool)
+        cuts = np.zeros(len(batch), bool)
         for k in keys:
             v = batch[k].to_numpy()
-            codes[1:] |= v[1:] != v[:-1]
-        cuts = np.flatnonzero(codes)
-        bounds = [0, *cuts.tolist()]
+            cuts[1:] |= v[1:] != v[:-1]
+        bounds = [0, *np.flatnonzero(cuts).tolist()]
+        if parts and any(parts[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys):
+            yield whole()
+            parts = []
         for start, end in zip(bounds, bounds[1:]):
-            yield batch.iloc[start:end]
-        parts = [batch.iloc[bounds[-1] :]]
+            parts.append(batch.iloc[start:end])
+            yield whole()
+            parts = []
+        parts.append(batch.iloc[bounds[-1] :])
     if parts:
-        yield parts[0]
+        yield whole()
 
 
 def _sorted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:

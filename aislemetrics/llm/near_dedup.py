@@ -39,9 +39,8 @@ from aislemetrics.session import materialize
 VALUES = 320  # of a signature, if the threshold does not ask for more
 BATCH = 32  # signature values compared before the posterior is looked at
 MISS = 1e-6  # chance to drop a pair at the threshold, for each batch
-BLOCK = 64  # least members of a block
-_GRID = 40  # a family is cut into about this many blocks, if they would be larger than BLOCK
-_MOST = 2000  # largest block
+BLOCK = 2048  # members of a block
+BLOCK_BYTES = 16 << 20  # sets and signatures of a block
 _U = np.uint64
 _words: dict[bytes, int] = {}
 
@@ -162,7 +161,7 @@ def _sets(size: int, values: int):
         for batch in batches:
             sets = [shingles(t, size) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "family": batch["family"], "members": batch["members"],
+                "doc_id": batch["doc_id"], "family": batch["family"], "blocks": batch["blocks"],
                 "hashes": [s.tobytes() for s in sets], "sig": [signature(s, values).tobytes() for s in sets],
             })
 
@@ -238,21 +237,20 @@ def near_groups(
     bands, per_band = layout(percent, miss)
     marks = materialize(source.mapInPandas(_described(size, bands, per_band), shape))
     linkable = marks.filter("n > 0 and doc_id is not null")
-    first = [F.min_by("bands", "doc_id").alias("bands")]
+    first = [F.min_by("bands", "doc_id").alias("bands"), F.min("n").alias("n")]
     classes = materialize(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *first))
     rows = classes.select("id", F.explode("bands").alias("band"))
     shared = materialize(rows.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("n")).filter("n > 1"))
     pairs = rows.join(shared.select("band", "low"), "band").filter("id <> low")
     families = materialize(components(pairs.select(F.col("id").alias("a"), F.col("low").alias("b"))))
-    counts = families.groupBy("root").agg(F.count("*").alias("members"))
-    members = materialize(families.join(counts, "root").select("id", F.col("root").alias("family"), "members"))
+    size_of = F.lit(8) * F.col("n") + 4 * width(bands, per_band)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size_of) / BLOCK_BYTES)).cast("int")
+    counts = families.join(classes.select("id", "n"), "id").groupBy("root").agg(blocks.alias("blocks"))
+    members = materialize(families.join(counts, "root").select("id", F.col("root").alias("family"), "blocks"))
     texts = source.join(members.withColumnRenamed("id", "doc_id"), "doc_id")
     # rows that repeat an id and differ in text: the text of the class representative is among them
-    ready = texts.mapInPandas(_sets(size, width(bands, per_band)), "doc_id long, family long, members long, hashes binary, sig binary")
-    block = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("members") / _GRID)), F.lit(_MOST)).cast("long")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    placed = ready.withColumn("blocks", blocks).withColumn("own", own)
+    ready = texts.mapInPandas(_sets(size, width(bands, per_band)), "doc_id long, family long, blocks int, hashes binary, sig binary")
+    placed = ready.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("doc_id", "family", "hashes", "sig", "own", other)
     placed = placed.select(

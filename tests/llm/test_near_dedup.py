@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from aislemetrics.llm import near_dedup as M
-from aislemetrics.llm.common import LOWER, UPPER, components
+from aislemetrics.llm.common import LOWER, UPPER, by_key, components
 
 
 def shingle_set(text, size):
@@ -53,8 +53,10 @@ def corpus(n=25, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
-def test_against_brute_force(spark, size, percent):
+@pytest.mark.parametrize("size,percent,block,block_bytes", [(3, 85, M.BLOCK, M.BLOCK_BYTES), (5, 80, 40, M.BLOCK_BYTES), (5, 80, M.BLOCK, 100_000)])
+def test_against_brute_force(spark, monkeypatch, size, percent, block, block_bytes):
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "BLOCK_BYTES", block_bytes)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as family", "2 as n", "'x' as sig")
     got = M.near_groups(docs.repartition(3), size=size, percent=percent).collect()
@@ -92,6 +94,16 @@ def test_pruning_bound():
     assert ((hits < least).any(axis=1)).mean() < 1e-3
 
 
+def test_groups_that_span_batches():
+    import pandas as pd
+
+    rows = pd.DataFrame({"a": [1, 1, 1, 1, 1, 2, 3, 3, 3], "b": [0, 0, 0, 0, 1, 1, 1, 1, 1], "c": range(9)})
+    for size in (1, 2, 3, 9):
+        batches = [rows.iloc[:0], *[rows.iloc[i : i + size] for i in range(0, 9, size)]]
+        got = [g["c"].tolist() for g in by_key(iter(batches), ["a", "b"])]
+        assert got == [[0, 1, 2, 3], [4], [5], [6, 7, 8]]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (11, 12), (7, 7), (20, 22), (21, 22), (1, 30)]
     chain = [(100 + i, 101 + i) for i in range(40)]
