@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from aislemetrics.session import scratch_path
-from aislemetrics.streaming import events
+from aislemetrics.streaming import events, upsert
 from workload.registry import query
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -18,20 +18,27 @@ LATE = "3 days"  # longest delay of an event in ``delayed``
 PARTS = 5
 
 
-def delayed(v):
-    """The event table as files that arrive one by one, every tenth event up to two days late.
+_arrivals: dict[tuple, str] = {}
 
-    Four files at a time are written in the order of arrival; each micro-batch takes four.
+
+def delayed(v, parts=PARTS, step=1):
+    """The event table as files that arrive one by one, every tenth event up to two times ``step`` days late.
+
+    Four files at a time are written in the order of arrival; each micro-batch takes four. They are
+    written once in a session, so that a repeated query does not measure it.
     """
-    folder = scratch_path(v.spark, "arrivals")
-    rows = v.spark.read.schema(SCHEMA).parquet(f"{v.folder}/events.parquet")
-    arrives = F.col("ts") + F.expr("make_interval(0, 0, 0, if(event_id % 10 = 0, cast(event_id % 3 as int), 0))")
-    seconds = arrives.cast("double")
-    low, high = rows.agg(F.min(seconds), F.max(seconds)).first()
-    part = F.floor((seconds - low) / max(1.0, high - low + 1) * PARTS)
-    for k in range(PARTS):
-        rows.where(part == k).repartition(4).write.mode("append").parquet(folder)
-    return events.ingest(v.spark, folder, SCHEMA, ["value"], files_per_batch=4)
+    key = (v.spark.sparkContext.applicationId, v.folder, parts, step)
+    if key not in _arrivals:
+        folder = scratch_path(v.spark, "arrivals")
+        rows = v.spark.read.schema(SCHEMA).parquet(f"{v.folder}/events.parquet")
+        arrives = F.col("ts") + F.expr(f"make_interval(0, 0, 0, if(event_id % 10 = 0, cast(event_id % 3 as int) * {step}, 0))")
+        seconds = arrives.cast("double")
+        low, high = rows.agg(F.min(seconds), F.max(seconds)).first()
+        part = F.floor((seconds - low) / max(1.0, high - low + 1) * parts)
+        for k in range(parts):
+            rows.where(part == k).repartition(4).write.mode("append").parquet(folder)
+        _arrivals[key] = folder
+    return events.ingest(v.spark, _arrivals[key], SCHEMA, ["value"], files_per_batch=4)
 
 
 query("stream_ingest", "L1", "select event_id, user_id, event_type, value from events")(
@@ -79,3 +86,45 @@ query(
     "from events)) group by user_id, session",
     "total:2",
 )(lambda v: events.run_closed(delayed(v), lambda e: events.session_totals(e, late=LATE), "session_start"))
+
+
+# ---- update mode with late rows -------------------------------------------------
+# Eight micro-batches, every tenth event up to eight days late, and a watermark of one hour: a batch drops
+# what ended before the newest time of the batches before the last one, less the hour.
+UPSERT_PARTS, STEP, SHORT = 8, 4, "1 hour"
+WINDOW_KEYS = ["window_start", "window_end", "event_type"]
+MARKED = f"""
+with a as (select *, epoch(ts + to_days(case when event_id % 10 = 0 then cast(event_id % 3 as int) * {STEP} else 0 end)) as s from events),
+p as (select *, floor((s - min(s) over ()) / greatest(1e0, max(s) over () - min(s) over () + 1) * {UPSERT_PARTS}) as part from a),
+w as (select part, max(ts) as newest from p group by part),
+m as (select p.*, date_trunc('hour', ts) as window_start, (select max(newest) from w where w.part < p.part - 1) - interval {SHORT} as mark from p)"""
+LATE_IF = "coalesce(window_start + interval 1 hour <= mark, false)"
+
+
+def arriving(v):
+    return delayed(v, UPSERT_PARTS, STEP)
+
+
+def upserted(v):
+    totals = events.windowed_totals(arriving(v), late=SHORT)
+    path = scratch_path(v.spark, "upserts")
+    upsert.run_upserts(totals, path)
+    return upsert.current(v.spark, path, totals.schema, WINDOW_KEYS)
+
+
+query(
+    "stream_upserted_totals",
+    "L2 L5",
+    f"select * from ({MARKED} select window_start, window_start + interval 1 hour as window_end, event_type, count(*) as n, "
+    f"sum(value) as total from m where not {LATE_IF} group by 1, 2, 3)",
+    "total:2",
+)(upserted)
+query(
+    "stream_late_rows",
+    "L2 L5",
+    f"select * from ({MARKED} select event_id, ts, event_type, value, cast(part as bigint) as batch from m where {LATE_IF})",
+)(
+    lambda v: upsert.run_late(
+        arriving(v), scratch_path(v.spark, "late"), F.date_trunc("hour", "ts") + F.expr("interval 1 hour"), SHORT
+    ).select("event_id", "ts", "event_type", "value", "batch")
+)
