@@ -1,10 +1,9 @@
-"""Store clustering on standardised per-store features (Spark ML)."""
+"""Store clustering on standardised per-store features."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from ..functions.aggregates import numbers_by
 from ..functions.columns import rate
 from ..functions.running import quantiles_row
 from ..session import materialize
+from . import kmeans
 from .series import total
 
 
@@ -69,9 +69,9 @@ def _scaled(features: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def store_clusters(
-    features: DataFrame, store: str = "store_nbr", seed: int = 42, min_stores: int = 10, clusters: int | None = None
+    features: DataFrame, store: str = "store_nbr", min_stores: int = 10, clusters: int | None = None
 ) -> DataFrame:
-    """Features with a ``cluster`` id; ``clusters`` of them, or min(5, stores // 3).
+    """Features with a ``cluster`` number; ``clusters`` of them, or min(5, stores // 3).
 
     Empty with ``min_stores`` or fewer (0 switches this off).
     """
@@ -80,9 +80,7 @@ def store_clusters(
     if stores <= min_stores:
         return features.withColumn("cluster", F.lit(None).cast("int")).limit(0)
     columns = [c for c in features.columns if c != store]
-    data = _scaled(features, columns)
-    model = KMeans(k=clusters or max(2, min(5, stores // 3)), seed=seed, featuresCol="_scaled", predictionCol="cluster").fit(data)
-    return model.transform(data).select(*features.columns, "cluster")
+    return kmeans.clustered(features, store, columns, clusters or max(2, min(5, stores // 3)))
 
 
 def cluster_summary(clustered: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -114,10 +114,63 @@ query(
     )
     .where("stores > 0")
 )
-query("store_clusters_by_sales", "J136")(lambda v: cluster.store_clusters(sales(v)))
-query("store_clusters_by_price", "J136")(lambda v: cluster.store_clusters(prices(v)))
-query("cluster_summary", "J136")(
-    lambda v: cluster.cluster_summary(cluster.store_clusters(prices(v)), ["avg_price", "std_price"])
-)
-query("cluster_profile", "J137")(lambda v: cluster.cluster_profile(cluster.store_clusters(sales(v))))
+
+
+SALES_SET = {
+    "avg_sales": "avg(wkly_sales_amt)", "std_sales": "stddev_samp(wkly_sales_amt)", "total_sales": "sum(wkly_sales_amt)",
+    "avg_units": "avg(wkly_qty)", "total_units": "sum(wkly_qty)", "avg_inventory": "avg(onhand_invt_qty)",
+    "std_inventory": "stddev_samp(onhand_invt_qty)", "avg_ratio": "avg(sales_to_inventory_ratio)",
+}
+PRICE_SET = {
+    "avg_price": "avg(live_price_amt)", "std_price": "stddev_samp(live_price_amt)", "avg_gap": "avg(gap_reg_live)",
+    "promo_rate": "avg(cast(on_promotion as int))", "records": "count(wm_wk_nbr)",
+}
+
+
+def kmeans_sql(features: dict[str, str], source: str) -> str:
+    """Farthest-point start and Lloyd steps as recursive queries over whole standardised numbers."""
+    held = ", ".join(f"round(cast({e} as double), 3) as {n}" for n, e in features.items())
+    full = " and ".join(f"{n} is not null" for n in features)
+    at = ", ".join(
+        f"cast(round(coalesce(({n} - (avg({n}) over ())) / nullif(stddev_samp({n}) over (), 0), 0) * 10000) + 10000000 as bigint)" for n in features
+    )
+    means = ", ".join(f"(2 * sum(w.p[{d}]) + count(*)) // (2 * count(*))" for d in range(1, len(features) + 1))
+    apart = "list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip({}, {})])"
+    return f"""with recursive f as (select * from (select store_nbr, {held} from {source} group by 1) where {full}),
+pts as (select store_nbr, [{at}] as p from f),
+size as (select case when count(*) <= 10 then 0 else greatest(2, least(5, count(*) // 3)) end as k from pts),
+start as (
+  select [p] as chosen from (select p from pts order by store_nbr limit 1) union all
+  select list_append(any_value(chosen), arg_min(p, (-near, store_nbr))) from (
+    select chosen, store_nbr, p, (select min({apart.format("p", "c.c")}) from (select unnest(chosen) as c) c) as near from start cross join pts)
+  having max(near) > 0 and len(any_value(chosen)) < (select k from size)),
+first as (select chosen from start order by len(chosen) desc limit 1),
+walk as (
+  select 0 as step, store_nbr, p, (select arg_min(i, ({apart.format("p", "chosen[i]")}, i)) from (select unnest(range(1, len(chosen) + 1)) as i) x) - 1 as cluster
+  from pts cross join first union all
+  select any_value(step) + 1, store_nbr, any_value(p), arg_min(cluster, ({apart.format("p", "center")}, cluster)) from (
+    select q.store_nbr, q.p, c.step, c.cluster, c.center from pts q cross join (
+      select any_value(w.step) as step, w.cluster, [{means}] as center from walk w group by w.cluster) c)
+  where step < 25 group by store_nbr)
+select f.*, cast(cluster as int) as cluster from walk join f using (store_nbr) where step = 25 and (select k from size) > 0"""
+
+
+SALES_CLUSTERS, PRICE_CLUSTERS = kmeans_sql(SALES_SET, "sales_m"), kmeans_sql(PRICE_SET, "price_m")
+query("store_clusters_by_sales", "J136", f"select * from ({SALES_CLUSTERS})", ",".join(SALES_SET) + ":3")(lambda v: cluster.store_clusters(sales(v)))
+query("store_clusters_by_price", "J136", f"select * from ({PRICE_CLUSTERS})", ",".join(PRICE_SET) + ":3")(lambda v: cluster.store_clusters(prices(v)))
+query(
+    "cluster_summary",
+    "J136",
+    f"select cluster, avg(avg_price) as avg_price, avg(std_price) as std_price, count(*) as stores from ({PRICE_CLUSTERS}) group by 1",
+    "avg_price,std_price:6",
+)(lambda v: cluster.cluster_summary(cluster.store_clusters(prices(v)), ["avg_price", "std_price"]))
+query(
+    "cluster_profile",
+    "J137",
+    f"with c as (select * from ({SALES_CLUSTERS})), m as (select median(avg_sales) as s, median(avg_inventory) as i from c), "
+    "g as (select cluster, avg(avg_sales) as avg_sales, avg(avg_inventory) as avg_inventory, count(*) as stores from c group by 1) "
+    "select g.*, case when avg_sales > s and avg_inventory < i then 'High Performance (High Sales, Low Inventory)' when avg_sales > s then 'High Volume' "
+    "when avg_inventory < i then 'Lean Operations' else 'Standard Operations' end as profile from g cross join m",
+    "avg_sales,avg_inventory:6",
+)(lambda v: cluster.cluster_profile(cluster.store_clusters(sales(v))))
 query("store_pca_2d", "J138")(lambda v: cluster.pca_2d(sales(v)))

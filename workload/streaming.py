@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from aislemetrics.session import scratch_path
-from aislemetrics.streaming import events, upsert
+from aislemetrics.streaming import events, sessions, upsert
 from workload.registry import query
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -128,3 +128,24 @@ query(
         arriving(v), scratch_path(v.spark, "late"), F.date_trunc("hour", "ts") + F.expr("interval 1 hour"), SHORT
     ).select("event_id", "ts", "event_type", "value", "batch")
 )
+
+
+def bounded(v):
+    sessions.with_state_store(v.spark)
+    try:
+        return events.run_closed(delayed(v), lambda e: sessions.bounded_sessions(e, 600, 2400, LATE), "session_start")
+    finally:
+        v.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+# a session of at most 40 hours that ends after ten hours without an event
+query(
+    "stream_bounded_sessions",
+    "L5",
+    "select * from (with recursive e as (select *, row_number() over (partition by user_id order by ts, event_id) as i from events where user_id is not null), "
+    "w as (select user_id, i, ts, value, ts as start from e where i = 1 union all "
+    "select e.user_id, e.i, e.ts, e.value, case when e.ts >= w.ts + interval 10 hour or e.ts >= w.start + interval 40 hour then e.ts else w.start end "
+    "from w join e on e.user_id = w.user_id and e.i = w.i + 1) "
+    "select user_id, start as session_start, max(ts) as session_end, count(*) as n, coalesce(sum(value), 0) as total from w group by 1, 2)",
+    "total:2",
+)(bounded)
