@@ -69,7 +69,7 @@ def test_nothing_upserted(spark, tmp_path):
 def test_sessions_end_by_gap_and_by_length(spark, tmp_path):
     sessions.with_state_store(spark)
     folder, state = f"{tmp_path}/in", f"{tmp_path}/state"
-    # user 1: out of order within its session; user 2: an event every ten minutes for three hours; user 3 stays open
+    # user 1: out of order within its session; user 2: an event every ten minutes for three hours; users 3 and 4: later
     arrive(spark, folder, [(1, at(0.3), 1, "a", 1.0), (2, at(0), 1, "a", None), (3, at(0.4), None, "a", 9.0)])
     arrive(spark, folder, [(4, at(0.1), 1, "a", 2.0), *[(10 + i, at(i / 6), 2, "a", 1.0) for i in range(19)]])
     arrive(spark, folder, [(5, at(30), 3, "a", 5.0), (6, at(30.2), 3, "a", 5.0)])
@@ -85,14 +85,14 @@ def test_sessions_end_by_gap_and_by_length(spark, tmp_path):
     try:
         sizes = run()
         got = sorted((r.user_id, r.session_start, r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-        assert got == [(1, at(0), 3, 3.0), (2, at(0), 12, 12.0), (2, at(2), 7, 7.0)]
+        assert got == [(1, at(0), 3, 3.0), (2, at(0), 12, 12.0), (2, at(2), 7, 7.0), (3, at(30), 2, 10.0)]
         still = {r.user_id: (r.session_start, r.n) for r in sessions.open_sessions(spark, state).collect()}
-        assert set(still) <= {3, 4} and still.get(3, (at(30), 2)) == (at(30), 2)
+        assert still == {4: (at(30.7), 2)}
         # state of the sessions that ended has gone
         assert sizes[-1] < max(sizes)
         arrive(spark, folder, [(9, at(90), 5, "a", 1.0)])
         run()
         got = sorted((r.user_id, r.session_start, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-        assert got[-2:] == [(3, at(30), 2), (4, at(30.7), 2)]
+        assert got[-1] == (4, at(30.7), 2)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
