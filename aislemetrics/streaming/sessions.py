@@ -109,9 +109,20 @@ def bounded_sessions(events: DataFrame, gap_minutes: int = 30, longest_minutes:
 
 
 def open_sessions(spark: SparkSession, state: str) -> DataFrame:
-    """Sessions that have begun and not ended, read from the checkpoint of a stream of :func:`bounded_sessions`."""
-    stored = spark.read.format("statestore").option("stateVarName", "open").load(state)
-    return stored.select(
-        F.col("key.user_id").alias("user_id"), F.timestamp_micros("value.start").alias("session_start"),
-        F.timestamp_micros("value.last").alias("last_event"), F.col("value.n").alias("n"), F.col("value.total").alias("total"),
+    """Users with a session that has not ended, read from the checkpoint of a stream of :func:`bounded_sessions`.
+
+    user_id, session_start, last_event, n, total; events that the watermark has not passed are counted in.
+    """
+
+    def variable(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(state)
+
+    begun = variable("open").select("key.user_id", "value.start", "value.last", "value.n", "value.total")
+    waiting = variable("waiting").select(
+        "key.user_id", F.col("list_element.at").alias("start"), F.col("list_element.at").alias("last"),
+        F.lit(1).cast("long").alias("n"), F.coalesce("list_element.value", F.lit(0.0)).alias("total"),
+    )
+    return begun.unionByName(waiting).groupBy("user_id").agg(
+        F.timestamp_micros(F.min("start")).alias("session_start"), F.timestamp_micros(F.max("last")).alias("last_event"),
+        F.sum("n").alias("n"), F.sum("total").alias("total"),
     )
