@@ -11,9 +11,11 @@ the number of pairs up to ``MOST_BITS`` (16 MB, what is broadcast); beyond that
 levels only. It is built by segments, each in one task. Every pair of a document that the filter does
 not hold, or that has a word beyond the frequent ones, is joined to the table, so no level is lost.
 
-P(w | v) is a mixture of the quantised count of (v, w) over the count of v and of the smoothed frequency
-of w, and that frequency alone if v was not met in training. A false positive of the filter (about 1
-in 200 where it holds all levels) raises one count.
+P(w | v) is a mixture of the quantised count of (v, w) over the sum of the quantised counts of all pairs
+of v, and of the smoothed frequency of w; it is that frequency alone if v was not met in training. Both
+parts sum to 1 over the training words and one class of others, and so does P(. | v). A false positive
+of the filter (about 1 in 200 where it holds all levels) raises one count by a level, at most to the sum
+for v; to that extent the probabilities after v sum to more than 1.
 
 Cases: null and empty texts hold only the end token. Without training rows every base probability
 is 1. A null id counts as the text '' for the split. Rows that repeat an id are rows of their own.
@@ -42,7 +44,8 @@ BITS_EACH = 12
 PROBES = 4
 SEGMENTS = 256
 WEIGHT = 0.7  # of the pair counts in the mixture
-PORTION = 400_000  # tokens handled at once
+PORTION = 100_000  # tokens handled at once
+CACHE = 100_000  # words whose hash a worker keeps
 _U = np.uint64
 _END_WORD = b" end"  # holds a blank, so no word is equal
 _known: dict[bytes, int] = {}
@@ -61,7 +64,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def hashes_of(words: list[bytes]) -> list[int]:
-    if len(_known) > 500_000:
+    if len(_known) > CACHE:
         _known.clear()
     out, get = [], _known.get
     for w in words:
@@ -96,7 +99,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text in batch["text"]:
             counts.update(words_of(text))
-            if len(counts) > 400_000:
+            if len(counts) > CACHE:
                 yield out()
                 counts.clear()
         counts[_END_WORD] += len(batch)
@@ -170,6 +173,7 @@ class Shared:
     total: int
     kinds: int
     filter: LogFilter | None = None
+    follow: np.ndarray | None = None  # sum of the quantised counts of the pairs of each frequent word
 
     @property
     def norm(self) -> float:
@@ -227,6 +231,23 @@ def _pair_counts(shared):
     return run
 
 
+def quantised(n: Column) -> Column:
+    """The count that the level of ``n`` stands for; a multiple of 1/2, so that sums are exact."""
+    level = F.floor(F.log2(n.cast("double")) + 1e-9) + 1
+    return F.when(level == 1, 1.0).otherwise(0.75 * F.pow(F.lit(2.0), level))
+
+
+def _with_follow(shared):
+    """Attach the sum of quantised counts of a frequent word ``v``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = shared.value
+        for batch in batches:
+            yield batch.assign(follow=s.follow[batch["v"].to_numpy()])
+
+    return run
+
+
 def _with_counts(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
@@ -291,28 +312,31 @@ def fit(texts: DataFrame) -> tuple[Shared, DataFrame, DataFrame]:
     pairs = pairs.groupBy("v", "w").agg(F.sum("n").alias("n"))
     pairs = written(pairs.mapInPandas(_with_counts(sent), "v long, w long, n long, cv long, cw long"))
     near = pairs.filter("cv > 0 and cw > 0").select((F.col("v") * len(words) + F.col("w")).alias("key"), "n")
-    return Shared(**{**shared.__dict__, "filter": _filter_of(near)}), counts, pairs
+    follow = np.ones(len(words))
+    sums = pairs.filter("cv > 0").groupBy("v").agg(F.sum(quantised(F.col("n"))).alias("follow")).toPandas()  # one row per frequent word
+    follow[sums["v"].to_numpy(np.int64)] = sums["follow"].to_numpy()
+    return Shared(**{**shared.__dict__, "filter": _filter_of(near), "follow": follow}), counts, pairs
 
 
 def gain_of(s: Shared, levels: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """log10 of P(w | v) over the share of the smoothed frequency in it; ``before``, ``now``: counts of v, w."""
-    share = np.minimum(count_at(levels), before) / before
+    """log10 of P(w | v) over the share of the smoothed frequency in it; ``before``: sums of v, ``now``: counts of w."""
+    share = np.minimum(count_at(levels) / before, 1.0)
     return np.log10(1 + WEIGHT * share * s.norm / ((1 - WEIGHT) * (now + 0.1)))
 
 
-def _gains(s: Shared, counts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _gains(s: Shared, shared, counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(v, w, gain) of every pair that the filter does not hold."""
     level = F.floor(F.log2(F.col("n").cast("double")) + 1e-9) + 1
-    seen = F.when(level == 1, 1.0).otherwise(0.75 * F.pow(F.lit(2.0), level))
-    share = F.least(seen, F.col("cv").cast("double")) / F.col("cv")
-    gain = F.log10(1 + WEIGHT * share * s.norm / ((1 - WEIGHT) * (F.col("cw") + 0.1)))
-    low = pairs.filter((F.col("cv") > 0) & (F.col("cw") > 0) & (level < s.filter.least))
-    rare = pairs.filter("cv < 0 or cw < 0")
-    for code, count in (("v", "cv"), ("w", "cw")):
-        known = counts.select(F.col("word").alias(code), F.col("n").alias("found"))
-        met = rare.filter(F.col(count) < 0).join(known, code).withColumn(count, F.col("found")).select(*pairs.columns)
-        rare = rare.filter(F.col(count) > 0).unionByName(met)
-    return low.unionByName(rare).select("v", "w", gain.alias("gain"))
+    frequent = pairs.filter(F.col("cv") > 0).filter((F.col("cw") < 0) | (level < s.filter.least))
+    frequent = frequent.mapInPandas(_with_follow(shared), "v long, w long, n long, cv long, cw long, follow double")
+    rare = pairs.filter("cv < 0")
+    rare = rare.join(rare.groupBy("v").agg(F.sum(quantised(F.col("n"))).alias("follow")), "v").select(*frequent.columns)
+    both = frequent.unionByName(rare)
+    known = counts.select(F.col("word").alias("w"), F.col("n").alias("found"))
+    met = both.filter("cw < 0").join(known, "w").withColumn("cw", F.col("found")).select(*both.columns)
+    both = both.filter("cw > 0").unionByName(met)
+    share = quantised(F.col("n")) / F.col("follow")
+    return both.select("v", "w", F.log10(1 + WEIGHT * share * s.norm / ((1 - WEIGHT) * (F.col("cw") + 0.1))).alias("gain"))
 
 
 def _scored(shared):
@@ -332,7 +356,7 @@ def _scored(shared):
             levels = s.filter.levels(pairs)
             held = levels >= s.filter.least
             own = np.zeros(len(pairs))
-            own[held] = gain_of(s, levels[held], s.counts_of(pairs[held] // many), s.counts_of(pairs[held] % many))
+            own[held] = gain_of(s, levels[held], s.follow[pairs[held] // many], s.counts_of(pairs[held] % many))
             gain, ask = np.zeros(len(flat)), np.ones(len(flat), bool)
             gain[both] = own[back]
             ask[both] = ~held[back] & (s.filter.least > 1)  # a filter of all levels knows that a pair was not met
@@ -375,7 +399,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
         F.sum(F.col("times") * (single - math.log10(s.norm))).alias("more_base"),
     )
     asked = parts.select("row", F.explode(F.arrays_zip("v", "w", "met")).alias("x")).select("row", "x.v", "x.w", "x.met")
-    gained = asked.join(_gains(s, counts, pairs), ["v", "w"]).groupBy("row").agg(F.sum(F.col("met") * F.col("gain")).alias("more_gain"))
+    gained = asked.join(_gains(s, shared, counts, pairs), ["v", "w"]).groupBy("row").agg(F.sum(F.col("met") * F.col("gain")).alias("more_gain"))
     zero = F.lit(0.0)
     known = F.col("known") + F.coalesce("more_known", F.lit(0))
     base = F.col("base") + F.coalesce("more_base", zero)

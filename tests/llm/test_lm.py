@@ -115,10 +115,21 @@ def test_score_reads_every_pair(spark, monkeypatch, frequent, bits):
             twos.update(zip([None, *t], t))
     norm = sum(ones.values()) + 0.1 * (len(ones) + 1)
 
-    def log(v, w):
+    read = {pair: float(L.count_at(L.level_of(n))) for pair, n in twos.items()}
+    follow = Counter()
+    for (v, _), n in read.items():
+        follow[v] += n
+
+    def p(v, w):
         single = (ones[w] + 0.1) / norm
-        seen = min(float(L.count_at(L.level_of(twos[v, w]))), ones[v]) if twos[v, w] else 0
-        return math.log10(L.WEIGHT * seen / ones[v] + (1 - L.WEIGHT) * single if ones[v] else single)
+        return L.WEIGHT * read.get((v, w), 0) / follow[v] + (1 - L.WEIGHT) * single if follow[v] else single
+
+    def log(v, w):
+        return math.log10(p(v, w))
+
+    # the probabilities after any word, met or not, sum to 1 over the words and the class of others
+    for v in [*list(ones)[:50], "not met"]:
+        assert abs(sum(p(v, w) for w in [*ones, "not met"]) - 1) < 1e-9
 
     want = sorted((k, sum(log(v, w) for v, w in zip([None, *tokens(x)], tokens(x)))) for k, x in rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
