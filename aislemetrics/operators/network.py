@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import numbers_by
 from ..session import scalar_row
 from .series import both_ends
+from .similarity import correlated_pairs, standardise
 
 BLOCK = 256
 
@@ -32,18 +33,10 @@ def _dense(frame: pd.DataFrame, store: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, values
 
 
-def _standard(x: np.ndarray) -> np.ndarray:
-    """Rows centred and scaled to unit length; NaN rows where constant."""
-    c = x - x.mean(axis=1, keepdims=True)
-    norm = np.sqrt((c * c).sum(axis=1, keepdims=True))
-    flat = norm <= 1e-12 * np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) * np.sqrt(x.shape[1])
-    return np.where(flat, np.nan, c / np.where(flat, 1.0, norm))
-
-
 def _correlate(x: np.ndarray, y: np.ndarray, fill_zero: bool) -> np.ndarray:
     """Correlation of every row of ``x`` with every row of ``y``."""
     if fill_zero:
-        return _standard(np.nan_to_num(x)) @ _standard(np.nan_to_num(y)).T
+        return standardise(np.nan_to_num(x)) @ standardise(np.nan_to_num(y)).T
     mx, my = ~np.isnan(x), ~np.isnan(y)
     a = np.where(mx, x - np.nanmean(x, axis=1, keepdims=True), 0.0)
     b = np.where(my, y - np.nanmean(y, axis=1, keepdims=True), 0.0)
@@ -200,7 +193,12 @@ def store_correlations(
 def similar_pairs(
     df: DataFrame, store: str, week: str, value: str, threshold: float = 0.7, fill_zero: bool = True, block: int = BLOCK
 ) -> DataFrame:
-    """Store pairs above ``threshold``; the others never leave the task."""
+    """Store pairs above ``threshold``; the others never leave the task.
+
+    With ``fill_zero``, blocks of stores that cannot reach it are not compared at all.
+    """
+    if fill_zero:
+        return correlated_pairs(df, store, week, value, threshold, block)
     return _pairs(df, store, week, value, (), fill_zero, threshold, block)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislemetrics.functions import columns as cols
-from aislemetrics.operators import catalog, cluster, competitive, network, quality, sales, stats
+from aislemetrics.operators import catalog, cluster, competitive, kmeans, network, quality, sales, similarity, stats
 from aislemetrics.operators import timeseries as ts
 from aislemetrics.plans import price_gap as pg
 from aislemetrics.sources import files
@@ -191,6 +191,35 @@ def test_constant_store_has_no_correlation(spark):
     assert got[("a", "b")] is None and got[("b", "c")] > 0.9
 
 
+@pytest.mark.parametrize("threshold, block", [(0.9, 8), (0.9, 256), (0.2, 16), (-0.5, 16)])
+def test_pruned_pairs_are_all_pairs(spark, threshold, block):
+    """Forty stores around each of five shapes, some constant, with gaps."""
+    rng = np.random.default_rng(8)
+    shapes = rng.normal(size=(5, 60))
+    values = np.concatenate([s + rng.normal(scale=0.15, size=(40, 60)) for s in shapes] + [np.full((3, 60), 4.0)])
+    rows = [(i, w, float(x)) for i, v in enumerate(values) for w, x in enumerate(v) if (i + w) % 17 or i > 199]
+    df = spark.createDataFrame(rows, "s int, w int, x double")
+    dense = np.zeros(values.shape)
+    for i, w, x in rows:
+        dense[i, w] = x
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.corrcoef(dense)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if r[i, j] > threshold}
+    got = {(p.store_a, p.store_b): p.r for p in network.similar_pairs(df, "s", "w", "x", threshold, block=block).collect()}
+    assert set(got) == want and all(abs(got[p] - r[p]) < 1e-9 for p in want)
+
+
+def test_distant_blocks_are_not_compared(spark):
+    rng = np.random.default_rng(9)
+    shapes = rng.normal(size=(4, 60))
+    rows = [(40 * k + i, w, float(x)) for k, s in enumerate(shapes) for i in range(40) for w, x in enumerate(s + rng.normal(scale=0.05, size=60))]
+    units = similarity.unit_vectors(spark.createDataFrame(rows, "s int, w int, x double"), "s", "w", "x")
+    placed = similarity.blocks_of(units, "s", 8)
+    blocks, pairs = similarity.block_pairs(placed, 0.9)
+    n = blocks.count()
+    assert n >= 16 and pairs.count() < n * (n + 1) / 2 / 2
+
+
 def test_clusters_hold_every_store_once(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"store_nbr": np.arange(30), "a": rng.normal(size=30) + np.arange(30) // 10 * 20, "b": rng.normal(size=30)})
@@ -200,6 +229,19 @@ def test_clusters_hold_every_store_once(spark):
     assert cluster.store_clusters(df.limit(10)).count() == 0
 
 
+def test_clusters_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.normal(loc=5 * (i % 3), size=2)), 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, same double")
+    got = [
+        {r.id: r.cluster for r in kmeans.clustered(df.repartition(n), "id", ["a", "b", "same"], 3).collect()} for n in (1, 7)
+    ]
+    assert got[0] == got[1] and len(set(got[0].values())) == 3
+    assert all(len({got[0][i] for i in range(k, 90, 3)}) == 1 for k in range(3))
+    few = spark.createDataFrame([(i, 1.0) for i in range(5)], "id int, a double")
+    assert {r.cluster for r in kmeans.clustered(few, "id", ["a"], 3).collect()} == {0}
+
+
 # ---- dashboard -------------------------------------------------------------
 
 def test_national_row_includes_rows_without_region(spark):
