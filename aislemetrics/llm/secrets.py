@@ -3,11 +3,13 @@
 Patterns give the base spans. Every match is extracted together with the text before it, so that
 running sums of the lengths give the positions.
 
-The method adds spans. A candidate is a long run of key characters. A window slides over it; the
-counts of its characters are kept by adding the entering and taking off the leaving one, and the
-entropy follows from sum(c * log2 c), updated for just these two counts. Candidates made of
-hexadecimal digits and of the full alphabet have thresholds of their own. A candidate that the
-allow list knows (placeholders, identifiers, words, paths) or that a base span covers is left out.
+The method adds spans. A candidate is a run of key characters. A window slides over it; the counts of
+its characters are kept by adding the entering and taking off the leaving one, and the entropy follows
+from sum(c * log2 c), updated for just these two counts. Candidates made of hexadecimal digits and of
+the full alphabet have thresholds of their own; a candidate shorter than the window is one window, with
+a threshold lowered like the greatest entropy of its length. Windows of high entropy that touch or
+overlap make one part, which is a span unless it is the value of a base span. Candidates that are
+words, paths or numbers are passed over, and so are parts that are, or that hold a placeholder.
 
 Cases: null and empty texts have no spans. Offsets are code points, ends exclusive. Equal spans of
 different kinds are all kept, ordered by start, then kind. Rows are independent: repeated rows, null
@@ -28,18 +30,22 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]+"
+SHORTEST = 12  # characters of a candidate
 WINDOW = 20
-HEX_BITS, TEXT_BITS = 3.0, 3.7
+HEX_BITS, TEXT_BITS = 3.0, 3.7  # for a whole window
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Candidates of these forms are no secrets: one kind of letters only, words and paths, placeholders, UUIDs, long repeats.
-ALLOWED = (
+#: Strings of these forms are no secrets: one kind of letters only, numbers, words and paths, UUIDs.
+PLAIN = (
     r"^[A-Z]?[a-z/_=-]+$",
     r"^[A-Z/_=-]+$",
     r"^[0-9/_=+-]+$",
     r"^([A-Z]?[a-z]+[/_=-])*[A-Z]?[a-z]+[0-9]{0,4}$",
     r"^([A-Z][a-z]+)+[0-9]{0,4}$",
-    r"(?i)example|sample|placeholder|changeme|your_|dummy|xxxx|0000000|1234567|abcdefg",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+)
+#: Nor are parts that hold one of these: placeholders, long repeats.
+FILLED = (
+    r"(?i)example|sample|placeholder|changeme|your_|dummy|xxxx|0000000|1234567|abcdefg",
     r"(.)\1{5,}",
 )
 
@@ -73,12 +79,13 @@ def _c_log_c(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def peak_entropy(codes: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy (bits a character) over the windows of an array of codes 1..len(ALPHABET).
+def high_runs(codes: Column, window: Column, bar: Column) -> Column:
+    """Runs (start, end) of an array of codes 1..len(ALPHABET) that windows of at least ``bar`` bits a character cover.
 
-    ``codes`` should be a column or a lambda variable, since each step looks into it.
+    ``codes``, ``window`` and ``bar`` should be columns or lambda variables, since each step looks into them.
     """
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("peak"))
+    runs = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), runs.alias("runs"))
 
     def step(acc: Column, i: Column) -> Column:
         enter = F.get(codes, i)
@@ -89,31 +96,47 @@ def peak_entropy(codes: Column, window: int = WINDOW) -> Column:
         counts = F.transform(
             acc["counts"], lambda c, k: c + F.when(k == enter - 1, 1).otherwise(0) - F.when(k == leave - 1, 1).otherwise(0)
         )
-        bits = F.log2(F.lit(float(window))) - total / window
-        peak = F.when(i >= window - 1, F.greatest(acc["peak"], bits)).otherwise(acc["peak"])
-        return F.struct(counts.alias("counts"), total.alias("total"), peak.alias("peak"))
+        # the slack keeps rounding of the running sum from deciding
+        high = (i >= window - 1) & (F.log2(window.cast("double")) - total / window >= bar - 1e-9)
+        last = F.get(acc["runs"], F.size(acc["runs"]) - 1)
+        goes_on = last.isNotNull() & (last["end"] >= i - window + 1)
+        new = F.array(F.struct(F.when(goes_on, last["start"]).otherwise(i - window + 1).alias("start"), (i + 1).alias("end")))
+        kept = F.when(goes_on, F.slice(acc["runs"], F.lit(1), F.size(acc["runs"]) - 1)).otherwise(acc["runs"])
+        return F.struct(counts.alias("counts"), total.alias("total"), F.when(high, F.concat(kept, new)).otherwise(acc["runs"]).alias("runs"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: acc["peak"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: acc["runs"])
 
 
-def _suspicious(candidates: Column, base: Column) -> Column:
-    """The candidates that no base span touches, that the allow list does not know and whose entropy is high."""
+def _is_none_of(value: Column, forms: tuple[str, ...]) -> Column:
+    free = F.lit(True)
+    for form in forms:
+        free &= ~value.rlike(form)
+    return free
 
-    def unknown(c: Column) -> Column:
-        free = ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        for form in ALLOWED:
-            free &= ~c["value"].rlike(form)
-        return free
+
+def _suspicious(candidates: Column, base: Column) -> Column:
+    """The parts of high entropy of the candidates that are no plain strings, placeholders or values of base spans."""
 
     def coded(c: Column) -> Column:
         codes = F.transform(F.split(c["value"], ""), lambda x: F.instr(F.lit(ALPHABET), x))
-        return F.struct(c.alias("span"), codes.alias("codes"))
+        window = F.least(F.lit(WINDOW), F.char_length(c["value"]))
+        bits = F.when(c["value"].rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
+        return F.struct(c.alias("span"), codes.alias("codes"), window.alias("window"), (bits * F.log2(window.cast("double")) / F.log2(F.lit(float(WINDOW)))).alias("bar"))
+
+    def parts(x: Column) -> Column:
+        def part(run: Column) -> Column:
+            value = F.substring(x["span"]["value"], run["start"] + 1, run["end"] - run["start"])
+            at = x["span"]["start"]
+            return F.struct((at + run["start"]).alias("start"), x["span"]["kind"].alias("kind"), (at + run["end"]).alias("end"), value.alias("value"))
+
+        return F.transform(high_runs(x["codes"], x["window"], x["bar"]), part)
 
-    def high(x: Column) -> Column:
-        bar = F.when(x["span"]["value"].rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
-        return peak_entropy(x["codes"]) >= bar
+    def own(p: Column) -> Column:
+        known = F.exists(base, lambda b: (b["end"] == p["end"]) & (b["end"] - F.char_length(b["value"]) == p["start"]))
+        return ~known & _is_none_of(p["value"], PLAIN + FILLED)
 
-    return F.transform(F.filter(F.transform(F.filter(candidates, unknown), coded), high), lambda x: x["span"])
+    unknown = F.filter(candidates, lambda c: _is_none_of(c["value"], PLAIN))
+    return F.filter(F.flatten(F.transform(F.transform(unknown, coded), parts)), own)
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +146,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = F.concat(
         _spans(text, 0, ASSIGN_VALUE, 6, ASSIGN), _spans(text, 1, ACCESS, 20), _spans(text, 2, HEX, 24)
     )
-    rows = rows.select("doc_id", F.array_sort(base).alias("base"), _spans(text, 3, CANDIDATE, WINDOW).alias("candidates"))
+    rows = rows.select("doc_id", F.array_sort(base).alias("base"), _spans(text, 3, CANDIDATE, SHORTEST).alias("candidates"))
     spans = F.array_sort(F.concat("base", _suspicious(F.col("candidates"), F.col("base"))))
     return rows.select("doc_id", "base", spans.alias("spans"))
 
