@@ -6,9 +6,7 @@ running sums of the lengths give the positions.
 The method adds spans. A candidate is a run of key characters. A window slides over it; the counts of
 its characters are kept by adding the entering and taking off the leaving one, and the entropy follows
 from sum(c * log2 c), updated for just these two counts. Candidates made of hexadecimal digits and of
-the full alphabet have thresholds of their own; a candidate shorter than the window is one window, with
-a threshold lowered like the greatest entropy of its length. Windows of high entropy that touch or
-overlap make one part, which is a span unless it is the value of a base span. Candidates that are
+the full alphabet have thresholds of their own. Windows of high entropy that touch or overlap make one part, which is a span unless it is the value of a base span. Candidates that are
 words, paths or numbers are passed over, and so are parts that are, or that hold a placeholder.
 
 Cases: null and empty texts have no spans. Offsets are code points, ends exclusive. Equal spans of
@@ -30,8 +28,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]+"
-SHORTEST = 12  # characters of a candidate
 WINDOW = 20
+SHORTEST = WINDOW  # characters of a candidate; with shorter ones most texts would have candidates
 HEX_BITS, TEXT_BITS = 3.0, 3.7  # for a whole window
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Strings of these forms are no secrets: one kind of letters only, numbers, words and paths, UUIDs.
