@@ -184,7 +184,9 @@ def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     ids_b, right = (ids_a, left) if a == b else side(b)
     value = joint_values(left, right, len(column))
     i, j = np.triu_indices(len(ids_a), 1) if a == b else (x.ravel() for x in np.indices(value.shape))
-    return pd.DataFrame({"group_a": ids_a[i], "group_b": ids_b[j], "value": value[i, j], "covered": np.int64(len(column))})
+    # each slice orders the groups by its own nonzeros, so a pair is named by its smaller group first
+    of_a, of_b = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j])
+    return pd.DataFrame({"group_a": of_a, "group_b": of_b, "value": value[i, j], "covered": np.int64(len(column))})
 
 
 def _pairs(nonzeros: DataFrame, groups: DataFrame) -> DataFrame:

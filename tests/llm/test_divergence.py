@@ -111,3 +111,12 @@ def test_texts_without_terms_and_empty_table(spark):
     assert got(D.audit(docs)) == brute([tuple(r) for r in docs.collect()], 10, 10)
     assert {r[4] for r in got(D.audit(docs))} == {0}
     assert D.audit(docs.limit(0)).count() == 0
+
+
+def test_slices_that_order_the_groups_differently(spark, monkeypatch):
+    # each source is busiest in other columns, so the slices of a block put its groups in different orders
+    monkeypatch.setattr(D, "CELL", 40)
+    words = [chr(97 + i) * 3 for i in range(26)]
+    rows = [("en", f"s{k}", " ".join(words[(5 * k + j) % 26] for j in range(4 + 3 * k))) for k in range(6) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert got(D.audit(docs, 2, 2)) == brute(rows, 2, 2)
