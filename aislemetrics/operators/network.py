@@ -1,92 +1,95 @@
 """Correlation between stores, over weekly means.
 
-A store is a vector of at most W weekly values. Stores are hashed into blocks of about
-``block`` stores; each pair of blocks is one task that correlates its stores with a few matrix
-products. The shuffle carries stores x weeks x blocks cells, not stores squared x weeks, and no
-group grows with the data: it holds two blocks of W weeks. Only :func:`store_correlations` and
-:func:`similar_pairs` return pairs; the others reduce to one row per store inside the task.
+A store is one row: the bytes of its W weekly values, NaN where it has none. Stores are hashed into
+blocks of at most about ``block`` stores; each pair of blocks is one task that correlates a few stores
+at a time with a whole block. The shuffle carries stores x weeks x blocks numbers, not stores squared,
+and no group grows with the data: it holds two blocks of W weeks. Only :func:`store_correlations`
+and :func:`similar_pairs` return pairs, tile by tile; the others reduce to one row per store inside the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregates import numbers_by
-from ..session import scalar_row
+from ..session import materialize, scalar_row
 from .series import both_ends
-from .similarity import correlated_pairs, standardise
+from .similarity import BLOCK, TILE, correlated_pairs, dense_rows, named_pairs, sides_of, standardise, weekly_lists
 
-BLOCK = 256
+SMALL = 256  # stores of a block that is not split further
+SPREAD = 8  # blocks of a group whatever its size, if they are not small: 36 tasks
 
 
-def _dense(frame: pd.DataFrame, store: str) -> tuple[np.ndarray, np.ndarray]:
-    """Store ids and their values as a stores x weeks matrix, NaN where there is no value."""
-    ids, row = np.unique(frame[store].to_numpy(), return_inverse=True)
-    values = np.full((len(ids), int(frame["_weeks"].iloc[0])), np.nan)
-    values[row, frame["_pos"].to_numpy()] = frame["_value"].to_numpy(float)
-    return ids, values
+def _prepared(x: np.ndarray, fill_zero: bool) -> tuple[np.ndarray, ...]:
+    """What :func:`_correlate` needs of each row."""
+    if fill_zero:
+        return (standardise(np.nan_to_num(x)),)
+    known = ~np.isnan(x)
+    a = np.where(known, x - np.nanmean(x, axis=1, keepdims=True), 0.0)
+    return a, known.astype(float), a * a
 
 
-def _correlate(x: np.ndarray, y: np.ndarray, fill_zero: bool) -> np.ndarray:
-    """Correlation of every row of ``x`` with every row of ``y``."""
-    if fill_zero:
-        return standardise(np.nan_to_num(x)) @ standardise(np.nan_to_num(y)).T
-    mx, my = ~np.isnan(x), ~np.isnan(y)
-    a = np.where(mx, x - np.nanmean(x, axis=1, keepdims=True), 0.0)
-    b = np.where(my, y - np.nanmean(y, axis=1, keepdims=True), 0.0)
-    fx, fy = mx.astype(float), my.astype(float)
+def _correlate(left: Sequence[np.ndarray], right: Sequence[np.ndarray]) -> np.ndarray:
+    """Correlation of every prepared row of ``left`` with every one of ``right``."""
+    if len(left) == 1:
+        return left[0] @ right[0].T
+    (a, fx, aa), (b, fy, bb) = left, right
     with np.errstate(divide="ignore", invalid="ignore"):
         n = fx @ fy.T
         sx, sy = a @ fy.T, fx @ b.T
-        sxx, syy = (a * a) @ fy.T, fx @ (b * b).T
+        sxx, syy = aa @ fy.T, fx @ bb.T
         vx, vy = sxx - sx * sx / n, syy - sy * sy / n
         r = (a @ b.T - sx * sy / n) / np.sqrt(vx * vy)
     flat = (n < 2) | (vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy)
     return np.where(flat, np.nan, r)
 
 
+def _tiles(left: Sequence[np.ndarray], right: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of ``left``, a few at a time, and their correlations with all rows of ``right``."""
+    for start in range(0, len(left[0]), TILE):
+        r = _correlate([x[start : start + TILE] for x in left], right)
+        yield np.arange(start, start + len(r)), r
+
+
+def _vectors(df: DataFrame, store: str, week: str, value: str, by: Sequence[str]) -> DataFrame:
+    """(by, store) and ``vec``, the bytes of its weekly means, NaN where there is none."""
+    rows = weekly_lists(df, store, week, value, by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                vec = pd.Series([v.tobytes() for v in dense_rows(batch, np.nan)], dtype=object, index=batch.index)
+                yield batch[[*by, store]].assign(vec=vec)
+
+    return rows.mapInPandas(run, T.StructType([*[rows.schema[k] for k in (*by, store)], T.StructField("vec", T.BinaryType())]))
+
+
 def _block_pairs(df: DataFrame, store: str, week: str, value: str, by: Sequence[str], block: int) -> DataFrame:
-    """Weekly means with week position, copied to each block pair that needs them."""
-    cells = numbers_by(df, [*by, store, week], {"_value": F.avg(value)}).where(F.col("_value").isNotNull())
-    weeks = cells.select(week).distinct()  # bounded by the calendar
-    weeks = weeks.select(
-        week,
-        (F.row_number().over(Window.orderBy(week)) - 1).alias("_pos"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_weeks"),
-    )
-    needed = F.greatest(F.lit(1), F.ceil(F.count_distinct(store) / block)).cast("int")
-    cells = cells.join(weeks, week)
+    """Weekly vectors with their block, copied to each block pair (lo, hi) that needs them."""
+    rows = materialize(_vectors(df, store, week, value, by))
+    stores = F.count(F.lit(1))
+    needed = F.greatest(F.lit(1), F.ceil(stores / block), F.least(F.lit(SPREAD), F.ceil(stores / SMALL))).cast("int")
     if by:  # blocks of the group's own stores
-        cells = cells.join(cells.groupBy(*by).agg(needed.alias("_blocks")), list(by))
+        rows = rows.join(rows.groupBy(*by).agg(needed.alias("_blocks")), list(by))
     else:
-        cells = cells.withColumn("_blocks", cells.agg(needed.alias("n")).scalar())
-    cells = cells.withColumn("_block", F.pmod(F.xxhash64(store), F.col("_blocks")).cast("int"))
-    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return cells.select(
-        *by,
-        store,
-        "_pos",
-        "_weeks",
-        "_value",
-        "_block",
-        F.least("_block", "_other").alias("_lo"),
-        F.greatest("_block", "_other").alias("_hi"),
-    )
+        rows = rows.withColumn("_blocks", rows.agg(needed.alias("n")).scalar())
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(store), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.select(*by, store, "vec", "block", F.least("block", "_other").alias("_lo"), F.greatest("block", "_other").alias("_hi"))
 
 
-def _both_sides(frame: pd.DataFrame, store: str):
-    lo, hi = frame["_lo"].iloc[0], frame["_hi"].iloc[0]
-    left = _dense(frame[frame["_block"] == lo], store) if (frame["_block"] == lo).any() else None
-    if lo == hi:
-        return left, left, True
-    right = _dense(frame[frame["_block"] == hi], store) if (frame["_block"] == hi).any() else None
-    return left, right, False
+def _both_sides(key: tuple, batches: Iterator[pd.DataFrame], store: str):
+    """Stores and values of the two blocks of a group, and whether they are the same block."""
+    lo, hi = key[-2:]
+    left, right = sides_of(batches, store, lo)
+    return (left, left, True) if lo == hi else (left, right, False)
 
 
 def _pairs(df, store, week, value, by, fill_zero, above, block) -> DataFrame:
@@ -96,31 +99,52 @@ def _pairs(df, store, week, value, by, fill_zero, above, block) -> DataFrame:
         + [T.StructField("store_a", kind), T.StructField("store_b", kind), T.StructField("r", T.DoubleType())]
     )
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _both_sides(frame, store)
+    def kernel(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, right, same = _both_sides(key, batches, store)
         if left is None or right is None:
-            return pd.DataFrame(columns=[f.name for f in out])
-        r = _correlate(left[1], right[1], fill_zero)
-        keep = np.triu(np.ones(r.shape, bool), k=1) if same else np.ones(r.shape, bool)
-        if above is not None:
-            keep &= np.nan_to_num(r, nan=-2.0) > above
-        i, j = np.nonzero(keep)
-        a, b, value_ = left[0][i], right[0][j], r[i, j]
-        swap = a > b
-        found = pd.DataFrame({"store_a": np.where(swap, b, a), "store_b": np.where(swap, a, b), "r": value_})
-        for k in reversed(by):
-            found.insert(0, k, frame[k].iloc[0])
-        found["r"] = found["r"].astype(object).where(found["r"].notna(), None)
-        return found
+            return
+        x = _prepared(left[1], fill_zero)
+        y = x if same else _prepared(right[1], fill_zero)
+        for rows, r in _tiles(x, y):
+            keep = np.arange(len(right[0])) > rows[:, None] if same else np.ones(r.shape, bool)
+            if above is not None:
+                keep &= np.nan_to_num(r, nan=-2.0) > above
+            i, j = np.nonzero(keep)
+            found = named_pairs(left[0][rows[i]], right[0][j], r[i, j])
+            for k, v in zip(reversed(by), reversed(key[:-2])):
+                found.insert(0, k, v)
+            yield found
 
     cells = _block_pairs(df, store, week, value, by, block)
     return cells.groupBy(*by, "_lo", "_hi").applyInPandas(kernel, out)
 
 
+class _Reduced:
+    """Sum, count, extremes of the correlations of a block's stores, and how many exceed ``above``."""
+
+    def __init__(self, n: int, above: float):
+        self.above, self.own = above, np.zeros(n, int)
+        self.sum, self.max, self.min = np.zeros(n), np.full(n, -np.inf), np.full(n, np.inf)
+        self.known, self.exceeding = np.zeros(n, int), np.zeros(n, int)
+
+    def add(self, at: np.ndarray | slice, r: np.ndarray, axis: int) -> None:
+        known = ~np.isnan(r)
+        self.sum[at] += np.where(known, r, 0.0).sum(axis=axis)
+        self.max[at] = np.maximum(self.max[at], np.where(known, r, -np.inf).max(axis=axis, initial=-np.inf))
+        self.min[at] = np.minimum(self.min[at], np.where(known, r, np.inf).min(axis=axis, initial=np.inf))
+        self.known[at] += known.sum(axis=axis)
+        self.exceeding[at] += (np.where(known, r, -2.0) > self.above).sum(axis=axis)
+
+    def frame(self, store: str, ids: np.ndarray) -> pd.DataFrame:
+        low, high = (np.where(np.isfinite(v), v, np.nan) for v in (self.min, self.max))
+        return pd.DataFrame({store: ids, "sum_r": self.sum, "max_r": high, "min_r": low, "n_r": self.known, "n_above": self.exceeding, "n_self": self.own})
+
+
 def _per_store(df, store, week, value, by, fill_zero, above, lag, block) -> DataFrame:
     """Per store: sum, count, extremes of its correlations and how many exceed ``above``.
 
-    With ``lag`` the store's week t meets the other store's week t + lag (by position).
+    With ``lag`` the store's week t meets the other store's week t + lag (by position); ``n_self``,
+    whether the store correlates with itself, is told without a lag only.
     """
     kind = df.schema[store].dataType
     stats = ["sum_r", "max_r", "min_r"]
@@ -131,41 +155,41 @@ def _per_store(df, store, week, value, by, fill_zero, above, lag, block) -> Data
         + [T.StructField(c, T.LongType()) for c in ("n_r", "n_above", "n_self")]
     )
 
-    def reduce(ids, r, own):
-        known = ~np.isnan(r)
-        frame = pd.DataFrame(
-            {
-                store: ids,
-                "sum_r": np.where(known, r, 0.0).sum(axis=1),
-                "max_r": np.where(known, r, -np.inf).max(axis=1, initial=-np.inf),
-                "min_r": np.where(known, r, np.inf).min(axis=1, initial=np.inf),
-                "n_r": known.sum(axis=1),
-                "n_above": (np.where(known, r, -2.0) > above).sum(axis=1),
-                "n_self": own,
-            }
-        )
-        for c in ("max_r", "min_r"):
-            frame[c] = frame[c].astype(object).where(np.isfinite(frame[c]), None)
-        return frame
-
-    def shifted(x, y):
-        return (x[:, :-lag], y[:, lag:]) if lag else (x, y)
-
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _both_sides(frame, store)
+    def ends(x: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """Rows as the leading and as the following side."""
+        if not lag:
+            both = _prepared(x, fill_zero)
+            return both, both
+        return _prepared(x[:, :-lag], fill_zero), _prepared(x[:, lag:], fill_zero)
+
+    def kernel(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, right, same = _both_sides(key, batches, store)
         if left is None or right is None:
-            return pd.DataFrame(columns=[f.name for f in out])
-        forward = _correlate(*shifted(left[1], right[1]), fill_zero)
+            return
+        leads, follows = ends(left[1])
+        of_left = _Reduced(len(left[0]), above)
+        parts = [(left[0], of_left)]
         if same:
-            own = (~np.isnan(np.diagonal(_correlate(left[1], left[1], fill_zero)))).astype(int)
-            np.fill_diagonal(forward, np.nan)
-            found = reduce(left[0], forward, own)
+            for rows, r in _tiles(leads, follows):
+                own = np.arange(len(rows)), rows
+                of_left.own[rows] = 0 if lag else ~np.isnan(r[own])
+                r[own] = np.nan
+                of_left.add(rows, r, 1)
         else:
-            backward = _correlate(*shifted(right[1], left[1]), fill_zero) if lag else forward.T
-            found = pd.concat([reduce(left[0], forward, 0), reduce(right[0], backward, 0)])
-        for k in reversed(by):
-            found.insert(0, k, frame[k].iloc[0])
-        return found[[f.name for f in out]]
+            of_right = _Reduced(len(right[0]), above)
+            parts.append((right[0], of_right))
+            other_leads, other_follows = ends(right[1])
+            for rows, r in _tiles(leads, other_follows):
+                of_left.add(rows, r, 1)
+                if not lag:
+                    of_right.add(slice(None), r, 0)
+            for rows, r in _tiles(other_leads, follows) if lag else ():
+                of_right.add(rows, r, 1)
+        for ids, reduced in parts:
+            found = reduced.frame(store, ids)
+            for k, v in zip(reversed(by), reversed(key[:-2])):
+                found.insert(0, k, v)
+            yield found
 
     cells = _block_pairs(df, store, week, value, by, block)
     partial = cells.groupBy(*by, "_lo", "_hi").applyInPandas(kernel, out)

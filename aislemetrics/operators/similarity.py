@@ -10,6 +10,7 @@ loses a pair; how many block pairs it saves depends on how the stores cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,8 @@ from ..session import materialize
 
 PIVOTS = 8
 RING = 0.1  # width of a block's range of distances to its pivot
-BLOCK = 256
+BLOCK = 16384  # stores of a block: a task holds two blocks, and a row is sent once per block that its own one meets
+TILE = 128  # stores that are compared with a whole block at a time
 
 
 def standardise(x: np.ndarray) -> np.ndarray:
@@ -34,25 +36,34 @@ def standardise(x: np.ndarray) -> np.ndarray:
     return np.where(flat, np.nan, c / np.where(flat, 1.0, norm))
 
 
-def unit_vectors(df: DataFrame, store: str, week: str, value: str) -> DataFrame:
-    """store and ``vec``, the bytes of its standardised weekly means, a missing week being 0. Constant stores are left out."""
-    cells = numbers_by(df, [store, week], {"_value": F.avg(value)}).where(F.col("_value").isNotNull())
-    weeks = cells.select(week).distinct()  # bounded by the calendar
+def weekly_lists(df: DataFrame, store: str, week: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, store) with the lists ``_pos``, ``_value`` of its weekly means and ``_weeks``, the number of all weeks."""
+    cells = numbers_by(df, [*by, store, week], {"_value": F.avg(value)}).where(F.col("_value").isNotNull())
+    weeks = has_keys(df, *by, store, week).where(F.col(value).isNotNull()).select(week).distinct()  # bounded by the calendar
     weeks = weeks.select(week, (F.row_number().over(Window.orderBy(week)) - 1).alias("_pos"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_weeks"))
-    cells = cells.join(weeks, week)
     # a list of weeks per store, as long as the calendar at most
-    rows = cells.groupBy(store).agg(
+    return cells.join(F.broadcast(weeks), week).groupBy(*by, store).agg(
         F.collect_list("_pos").alias("_pos"), F.collect_list(F.col("_value").cast("double")).alias("_value"), F.max("_weeks").alias("_weeks")
     )
 
+
+def dense_rows(batch: pd.DataFrame, missing: float) -> np.ndarray:
+    """The lists of :func:`weekly_lists` as a stores x weeks matrix."""
+    dense = np.full((len(batch), int(batch["_weeks"].iloc[0])), missing)
+    for i, (at, values) in enumerate(zip(batch["_pos"], batch["_value"])):
+        dense[i, np.asarray(at)] = values
+    return dense
+
+
+def unit_vectors(df: DataFrame, store: str, week: str, value: str) -> DataFrame:
+    """store and ``vec``, the bytes of its standardised weekly means, a missing week being 0. Constant stores are left out."""
+    rows = weekly_lists(df, store, week, value)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            dense = np.zeros((len(batch), int(batch["_weeks"].iloc[0])))
-            for i, (at, values) in enumerate(zip(batch["_pos"], batch["_value"])):
-                dense[i, np.asarray(at)] = values
-            unit = standardise(dense)
+            unit = standardise(dense_rows(batch, 0.0))
             known = ~np.isnan(unit[:, 0])
             yield pd.DataFrame({store: batch[store][known], "vec": pd.Series([u.tobytes() for u in unit[known]], dtype=object, index=batch.index[known])})
 
@@ -60,7 +71,24 @@ def unit_vectors(df: DataFrame, store: str, week: str, value: str) -> DataFrame:
 
 
 def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(v) for v in column])
+    return np.frombuffer(b"".join(column)).reshape(len(column), -1)
+
+
+def sides_of(batches: Iterator[pd.DataFrame], store: str, first: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Stores and vectors (``vec``) of the block ``first`` and of the other one of a group, None for an empty side."""
+    parts: tuple[list, list] = ([], [])
+    for batch in batches:
+        of_first = (batch["block"] == first).to_numpy()
+        for side, rows in zip(parts, (batch[of_first], batch[~of_first])):
+            if len(rows):
+                side.append((rows[store].to_numpy(), _stack(rows["vec"])))
+    return [tuple(np.concatenate(x) for x in zip(*side)) if side else None for side in parts]
+
+
+def named_pairs(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+    """store_a < store_b and r."""
+    swap = a > b
+    return pd.DataFrame({"store_a": np.where(swap, b, a), "store_b": np.where(swap, a, b), "r": r})
 
 
 def blocks_of(units: DataFrame, store: str, block: int) -> DataFrame:
@@ -113,14 +141,16 @@ def correlated_pairs(df: DataFrame, store: str, week: str, value: str, threshold
     kind = df.schema[store].dataType
     out = T.StructType([T.StructField("store_a", kind), T.StructField("store_b", kind), T.StructField("r", T.DoubleType())])
 
-    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["block"] == key[0]], frame[frame["block"] == key[1]]
-        r = _stack(left["vec"]) @ _stack(right["vec"]).T
-        keep = r > threshold
-        if key[0] == key[1]:
-            keep &= np.triu(np.ones(r.shape, bool), k=1)
-        i, j = np.nonzero(keep)
-        a, b = left[store].to_numpy()[i], right[store].to_numpy()[j]
-        return pd.DataFrame({"store_a": np.where(a > b, b, a), "store_b": np.where(a > b, a, b), "r": r[i, j]})
+    def kernel(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, right = sides_of(batches, store, key[0])
+        same = key[0] == key[1]
+        right = left if same else right
+        for start in range(0, len(left[0]), TILE):
+            r = left[1][start : start + TILE] @ right[1].T
+            keep = r > threshold
+            if same:
+                keep &= np.arange(len(right[0])) > np.arange(start, start + len(r))[:, None]
+            i, j = np.nonzero(keep)
+            yield named_pairs(left[0][start + i], right[0][j], r[i, j])
 
     return rows.join(sides, "block").groupBy("a", "b").applyInPandas(kernel, out)

@@ -209,6 +209,24 @@ def test_pruned_pairs_are_all_pairs(spark, threshold, block):
     assert set(got) == want and all(abs(got[p] - r[p]) < 1e-9 for p in want)
 
 
+@pytest.mark.parametrize("fill_zero", [True, False])
+def test_a_store_is_one_row_for_each_block_it_meets(spark, fill_zero):
+    """More stores than a tile; the shuffle carries a row per store and block, not one per week."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 30))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(i, w, float(v)) for i, line in enumerate(x) for w, v in enumerate(line) if not np.isnan(v)]
+    df = spark.createDataFrame(rows, "s int, w int, x double")
+    assert network._block_pairs(df, "s", "w", "x", (), 1000).count() == 300 * 2
+    full = pd.DataFrame(np.nan_to_num(x) if fill_zero else x).T.corr()
+    want = full.to_numpy()[~np.eye(300, dtype=bool)]
+    stats = one(network.network_stats(df, "s", "w", "x", fill_zero))
+    assert np.allclose([stats["mean_r"], stats["max_r"], stats["min_r"]], [want.mean(), want.max(), want.min()])
+    pairs = network.store_correlations(df, "s", "w", "x", fill_zero).toPandas()
+    assert len(pairs) == 300 * 299 // 2 and (pairs["store_a"] < pairs["store_b"]).all()
+    assert np.allclose(pairs["r"], full.to_numpy()[pairs["store_a"], pairs["store_b"]])
+
+
 def test_distant_blocks_are_not_compared(spark):
     rng = np.random.default_rng(9)
     shapes = rng.normal(size=(4, 60))
