@@ -391,3 +391,22 @@ def test_one_fact_read_for_pricing_strategy(spark):
     df = QUERIES["pricing_strategy"].run(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and plan.count("FileScan parquet") == 0  # the fact was read once, when built
+
+
+def test_market_feed_is_sent_as_numbers_and_not_doubled(spark, tmp_path):
+    """The exchange of the feed carries doubles; the national rows come from the regional sums."""
+    rows = [(9501 + w, r, f"{r} {lv}", "1 w/e", f"000{u}BP1", "4") for w in range(2) for r in ("east", "west") for lv in ("ALL CHANNELS", "HG_MART") for u in (7, 8, 8)]
+    feed = spark.createDataFrame(rows, "promo_yr_wk int, region string, market_description string, period_description string, upc string, sales string")
+    feed = feed.withColumns({m: F.lit("n/a") if m.startswith("promo") else F.col("sales") for m in pg.MEASURES if m != "sales"})
+    mapped = spark.createDataFrame([(r, u, o) for r in ("east", "west") for u, o in (("7", "70"), ("8", "80"), ("8", "81"))], "region string, market_upc string, own_upc string")
+    feed.write.parquet(str(tmp_path / "feed"))
+    clean = pg.market_clean(spark.read.parquet(str(tmp_path / "feed")))
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert "cast(sales" in below and "cast(sales" not in plan[: plan.index("RepartitionByExpression")]
+    pivot = pg.market_pivot(clean, mapped)
+    assert "Expand" not in pivot._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["promo_yr_wk"], r["region"], r["own_upc"]): (r["total_mkt_sales_1w"], r["HG_MART_units_1w"], r["gdm_sales_1w"], r["total_mkt_promo_sales_1w"]) for r in pivot.collect()}
+    want = {(9501 + w, r, o): (4.0, 4.0, None, None) for w in range(2) for r in ("east", "west") for o in ("70", "80", "81")}
+    want |= {(9501 + w, "NATIONAL", o): (8.0, 8.0, None, None) for w in range(2) for o in ("70", "80", "81")}
+    assert got == want
