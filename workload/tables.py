@@ -10,12 +10,14 @@ from aislemetrics.sources.files import bucket_count, save_bucketed
 from workload.registry import query
 
 PAIR = ["store_nbr", "item_nbr"]
+BUCKET_BYTES = 32 << 20
 
 
 def bucketed(v):
     """Weekly sales and store prices, clustered by store and item in the same buckets."""
     mark = uuid.uuid4().hex
-    buckets = max(4, bucket_count(v.table("lineitem").count(), 40))
+    # a bucket is folded in one task, whose memory is some fifteen times the bucket's rows as counted here
+    buckets = max(4, bucket_count(v.table("lineitem").count(), 40, BUCKET_BYTES))
     tables = []
     for name, df in (("sales", v.weekly_sales), ("prices", v.store_price)):
         columns = [*PAIR, "wkly_sales_amt", "wkly_qty"] if name == "sales" else [*PAIR, "live_price_amt"]
