@@ -127,3 +127,31 @@ def test_query_on_whole_table(spark):
     got = QUERIES["op1_suffix_dedup"](spark, folder).collect()
     want = [(k, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for k, n, spans, kept in brute(rows, 400)]
     assert sorted(tuple(r) for r in got) == sorted(want) and any(w[2] for w in want)
+
+
+def test_hot_cores_take_few_ranges(spark, monkeypatch):
+    """Rows made for a passage in texts that differ around it: a few for each text, not one for each window."""
+    rng, length = random.Random(8), 120
+    passage = "".join(rng.choice("abcdefgh") for _ in range(90))
+
+    def around(n):
+        return "".join(rng.choice("ijklmnop") for _ in range(n))
+
+    rows = [(i, around(200) + passage + around(200)) for i in range(300)]
+    ends = ["same words before it " * 2, "same words behind it " * 2]
+    rows += [(300 + i, around(80) + ends[0] + passage + around(80)) for i in range(3)]
+    rows += [(310 + i, around(80) + passage + ends[1] + around(80)) for i in range(3)]
+    rows += [(320 + i, around(80) + ends[0] + passage + ends[1] + around(i)) for i in range(2)]
+    made, real = [], S.materialize
+
+    def spy(df):
+        out = real(df)
+        if "outer_one" in out.columns and "first" not in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "materialize", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = S.Plan(length)
+    assert result(S.without_repeats(docs, length=length, hot=2)) == brute(rows, length)
+    assert made and sum(made) < 2 * len(rows) * (length - plan.core) / 10
