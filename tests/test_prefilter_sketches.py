@@ -21,6 +21,13 @@ def test_prefilter_keeps_every_known_key(spark, monkeypatch, broadcast):
     assert prefilter.with_known_keys(df, F.col("name"), keys.limit(0)).count() == 0
 
 
+def test_the_filter_is_in_the_plan_once(spark, monkeypatch):
+    monkeypatch.setattr(prefilter, "BROADCAST_BYTES", 0)
+    ids = spark.range(100).select(F.col("id").cast("string").alias("name"))
+    plan = prefilter.with_known_keys(ids, F.col("name"), ids)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery#") == 1
+
+
 @pytest.mark.parametrize("broadcast", [prefilter.BROADCAST_BYTES, 0])
 def test_market_rows_of_other_items_go_before_the_exchange(spark, monkeypatch, broadcast):
     """Only every fifth item is sold: four fifths of the feed go, and what is attached stays the same."""
