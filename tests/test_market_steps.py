@@ -89,3 +89,57 @@ def test_prices_are_joined_where_groups_were_summed(spark):
     own, competitor = (spark.createDataFrame([(199501, "EAST", "x", 1.0, 2.0)], f"week int, region string, group_code string, {a} double, {b} double") for a, b in (("own_live", "own_reg"), ("comp_live", "comp_reg")))
     plain, placed = (pg.attach_prices(pg.roll_up_upcs(attached, for_prices=p), own, competitor) for p in (False, True))
     assert plain.columns[1:] == placed.columns[1:] and same(plain, placed) and plain.where("own_live = 1").count() == 2
+
+
+def stages(clean, upc_map, parts=None, single=False):
+    """Levels and the two pivots over them, without the place of their rows."""
+    levels = pg.market_levels(pg.market_split(pg.market_shared(clean, upc_map, parts, single=single)), parts)
+    by_level = pg.market_by_level(levels)
+    return [df.drop("_place") for df in (levels, by_level, pg.market_by_period(by_level))]
+
+
+def test_rows_of_an_own_upc_with_one_market_upc_are_sent_once(spark, tmp_path):
+    market, _ = feed(spark, tmp_path)
+    market = market.union(market.withColumn("region", F.lit(pg.NATIONAL)))  # a region of that name is not the total
+    # 70 has two market UPCs, 80 and 81 one, in two regions; one row comes twice, and one has no own UPC
+    rows = [("EAST", "7", "70"), ("WEST", "8", "80"), ("EAST", "8", "80"), ("EAST", "8", "81"), ("EAST", "8", "81"), ("EAST", "9", "70"), ("West", "9", None), (pg.NATIONAL, "7", "70"), (None, "7", "71")]
+    upc_map = spark.createDataFrame(rows, "region string, market_upc string, own_upc string")
+    plain, placed = pg.market_clean(market), pg.market_clean(market, for_map=True, parts=3)
+    flagged = pg.market_shared(placed, upc_map, 3, single=True)
+    assert {(r.own_upc, r._single) for r in flagged.where("own_upc is not null").collect()} == {("70", False), ("80", True), ("81", True)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for want, got in zip(stages(plain, upc_map), stages(placed, upc_map, 3, single=True)):
+            assert same(want, got) and want.count() == got.count()
+            sent = [line for line in exchanges(got) if "_place" in line or "own_upc" in line and "REPARTITION" in line]
+            assert len(sent) == 1 and "hashpartitioning(_place" in sent[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_of_the_feed_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    market, upc_map = feed(spark, tmp_path)
+    monkeypatch.setattr(pg, "FEED_ROWS", 5)
+    plan = pg.PriceGapPlan(pg.PriceGapInputs(*[None] * 6, market, upc_map, None, None), None, 0, "", "")
+    assert plan.parts == 16  # 80 rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (plan.clean, plan.mapped, plan.duplicated, plan.shared, plan.split, plan.levels, plan.by_level, plan.by_period, plan.pivoted, plan.market_read):
+            tall = [line for line in exchanges(df) if "REPARTITION" in line]
+            assert tall and all(", 16), REPARTITION_BY_NUM" in line for line in tall)
+        assert same(plan.mapped, pg.market_mapped(plan.clean, upc_map)) and same(plan.shared, pg.market_shared(plan.clean, upc_map))
+        assert same(plan.duplicated, pg.market_duplicates(plan.mapped))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pivot_needs_only_what_it_reads(spark, tmp_path):
+    market, upc_map = feed(spark, tmp_path)
+    every = spark.createDataFrame([(p,) for p in ("1 w/e", "4 w/e", "52 w/e")], "period_description string")
+    market = market.drop("period_description").crossJoin(every)
+    market = market.withColumns({"sales": F.when(F.col("period_description") != "1 w/e", "4").otherwise("0"), "promo_units": F.lit("9")})
+    part = pg.market_measures_read(market)
+    assert part.where("promo_units is not null and period_description <> '1 w/e'").isEmpty() and "units_ya" not in part.columns
+    few = pg.market_clean(part, for_map=True, measures=pg.READ_MEASURES)
+    want = pg.market_pivot(pg.market_clean(market), upc_map)
+    assert want.count() > 0 and same(want, pg.market_pivot(few, upc_map))
