@@ -63,3 +63,16 @@ def test_a_week_without_rows_loses_its_partition(spark, inputs, tmp_path):
 def test_nothing_published(spark, tmp_path):
     with pytest.raises(ValueError):
         WeeklyTables(f"{tmp_path}/none", W.AS_OF, W.AFTER_WEEK).merged(spark)
+
+
+def test_folded_rows_are_kept_as_parquet(spark, inputs, tmp_path, monkeypatch):
+    """No copy of the folded rows as serialised objects, and no staged copy that stays."""
+    from aislemetrics.plans import publishing
+
+    staged = []
+    path = publishing.scratch_path
+    monkeypatch.setattr(publishing, "materialize", lambda df: pytest.fail("checkpoint of folded rows"))
+    monkeypatch.setattr(publishing, "scratch_path", lambda spark, kind: staged.append(path(spark, kind)) or staged[-1])
+    weeks, data = inputs
+    WeeklyTables(f"{tmp_path}/weekly", W.AS_OF, W.AFTER_WEEK).publish(data, weeks[-1:])
+    assert len(staged) == 4 and not any(publishing.path_exists(spark, p) for p in staged)
